@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, token_counts
+from . import bpe, quality_fm, token_counts, toxicity
 from .common import table
 
 
@@ -14,6 +14,11 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -21,10 +26,15 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return quality_fm.score(docs, quality_fm.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality")))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return token_counts.count_tokens(docs, _tokenizer("byte_bpe_50k.json"), token_counts.fresh_cache(spark))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op5_quality, op10_token_counts)}
 ORACLES: dict[str, str] = {}
