@@ -63,10 +63,11 @@ class FactorisationMachine:
         own, feature, value = self.inputs(ptr, idx, st)
         rng = np.random.default_rng(self.seed)
         g0, gw, gv = 1e-2, np.full(self.size, 1e-2), np.full(self.v.shape, 1e-2)
+        batch = min(self.batch, max(16, len(y) // 24))
         for _ in range(self.epochs):
             order = rng.permutation(len(y))
-            for k in range(0, len(order), self.batch):
-                rows = order[k : k + self.batch]
+            for k in range(0, len(order), batch):
+                rows = order[k : k + batch]
                 lens = own[rows + 1] - own[rows]
                 o = np.concatenate([[0], np.cumsum(lens)])
                 take = np.arange(o[-1]) - np.repeat(o[:-1] - own[rows], lens)
@@ -96,6 +97,13 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 16000, label: s
     model = FactorisationMachine(**params)
     chosen = pick(known.where("y = 0"), max_rows // 2).unionByName(pick(known.where("y = 1"), max_rows // 2))
     ptr, idx, st, y = sample_features(docs, chosen, model.bits)
+    few = int(min((y == 0).sum(), (y == 1).sum()))
+    if 0 < few < len(y) // 3:  # the scarcer label counts as often as the other
+        rare = np.flatnonzero(y == int((y == 1).sum() == few))
+        rows = np.concatenate([np.arange(len(y)), np.resize(rare, len(y) - 2 * few)])
+        lens = np.diff(ptr)[rows]
+        own = np.concatenate([[0], np.cumsum(lens)])
+        ptr, idx, st, y = own, idx[np.arange(own[-1]) - np.repeat(own[:-1] - ptr[rows], lens)], st[rows], y[rows]
     return model.fit(ptr, idx, st, y)
 
 

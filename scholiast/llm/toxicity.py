@@ -48,12 +48,13 @@ class NonNegativePU:
             return self
         rng = np.random.default_rng(self.seed)
         gw, gv, gb = np.full(1 << self.bits, 1e-3), np.full(len(STATS), 1e-3), 1e-3
-        steps = -(-len(unl) // self.batch)
-        take = max(1, min(len(pos), -(-len(pos) // steps), self.batch))
+        batch = min(self.batch, max(32, len(unl) // 24))
+        steps = -(-len(unl) // batch)
+        take = max(1, min(len(pos), -(-len(pos) // steps), batch))
         for epoch in range(self.epochs):
             order = rng.permutation(unl)
             for k in range(steps):
-                u = order[k * self.batch : (k + 1) * self.batch]
+                u = order[k * batch : (k + 1) * batch]
                 p = rng.choice(pos, max(take, 32))
                 rows = np.concatenate([p, u])
                 lens = ptr[rows + 1] - ptr[rows]
