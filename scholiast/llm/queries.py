@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality_fm, token_counts, toxicity
+from . import bpe, decontaminate, quality_fm, token_counts, toxicity
 from .common import table
 
 
@@ -31,10 +31,14 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.score(docs, quality_fm.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality")))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return token_counts.count_tokens(docs, _tokenizer("byte_bpe_50k.json"), token_counts.fresh_cache(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op5_quality, op10_token_counts)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op5_quality, op8_decontaminate, op10_token_counts)}
+ORACLES: dict[str, str] = {"op8_decontaminate": decontaminate.ORACLE}
