@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, quality_fm, token_counts, toxicity
+from . import bpe, decontaminate, quality_fm, simhash, token_counts, toxicity
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return quality_fm.score(docs, quality_fm.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality")))
@@ -40,5 +44,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, _tokenizer("byte_bpe_50k.json"), token_counts.fresh_cache(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op5_quality, op8_decontaminate, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op4_simhash, op5_quality, op8_decontaminate, op10_token_counts)}
 ORACLES: dict[str, str] = {"op8_decontaminate": decontaminate.ORACLE}
