@@ -116,3 +116,68 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     np.cumsum(words * p[:-1], out=sums[1:])
     inverse = powers(pow(WORD_BASE, -1, 1 << 64), len(words) + 1)
     return mix((sums[size:] - sums[:-size]) * inverse[:n])
+
+
+def sums_of(values: np.ndarray, base: int) -> np.ndarray:
+    """Prefix sums for polynomial hashes of any ranges of values."""
+    out = np.zeros(len(values) + 1, U64)
+    np.cumsum(values * powers(base, len(values) + 1)[: len(values)], out=out[1:])
+    return out
+
+
+def range_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
+    """Hash of values[start:end] for each range, from sums_of(values, base)."""
+    inverse = powers(pow(base, -1, 1 << 64), len(sums))
+    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U64) * U64(0xA24BAED4963EE407))
+
+
+def sliding_min(keys: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of every `width` consecutive keys, by doubling."""
+    n = len(keys) - width + 1
+    if n <= 0:
+        return keys[:0]
+    m, have = keys, 1
+    while 2 * have <= width:
+        m = np.minimum(m[: len(m) - have], m[have:])
+        have *= 2
+    return np.minimum(m[:n], m[width - have : width - have + n])
+
+
+#: Low bits of a packed key that hold the position, counted from the end, so that the rightmost of equal hashes is least.
+POSITION_BITS = 28
+_LOW = U64((1 << POSITION_BITS) - 1)
+
+
+def packed(hashes: np.ndarray) -> np.ndarray:
+    """Keys whose minimum names the least hash (of its top 36 bits) and, among equal ones, the rightmost position."""
+    return (hashes & ~_LOW) | (_LOW - np.arange(len(hashes), dtype=U64))
+
+
+def position_of(keys: np.ndarray) -> np.ndarray:
+    return (_LOW - (keys & _LOW)).astype(np.int64)
+
+
+def runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of runs of equal neighbours."""
+    if not len(values):
+        z = np.zeros(0, np.int64)
+        return z, z
+    at = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    return at, np.diff(np.append(at, len(values)))
+
+
+def spread(counts: np.ndarray) -> np.ndarray:
+    """0..c-1 for each c of counts, end to end."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts)
+
+
+def masked_runs(mask: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal true runs that stay within one group: (group of each, first index, length)."""
+    at = np.flatnonzero(mask)
+    if not len(at):
+        z = np.zeros(0, np.int64)
+        return z, z, z
+    new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (group[at[1:]] != group[at[:-1]])])
+    first = np.flatnonzero(new)
+    return group[at[first]], at[first], np.diff(np.append(first, len(at)))
