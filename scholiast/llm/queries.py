@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, quality_fm, simhash, substring_words, token_counts, toxicity
+from . import bpe, decontaminate, quality_fm, simhash, substring_words, suffix_bytes, token_counts, toxicity
 from .common import table
 
 
@@ -43,10 +43,14 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
 
+def op9_suffix_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_bytes.dedup_bytes(table(spark, sf_dir, "documents", "doc_id", "text"), digest=True)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return token_counts.count_tokens(docs, _tokenizer("byte_bpe_50k.json"), token_counts.fresh_cache(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op4_simhash, op5_quality, op6_substring_words, op8_decontaminate, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op4_simhash, op5_quality, op6_substring_words, op8_decontaminate, op9_suffix_bytes, op10_token_counts)}
 ORACLES: dict[str, str] = {"op8_decontaminate": decontaminate.ORACLE}
