@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, quality_fm, simhash, substring_words, suffix_bytes, token_counts, toxicity
+from . import bpe, decontaminate, embeddings, quality_fm, simhash, substring_words, suffix_bytes, token_counts, toxicity
 from .common import table
 
 
@@ -39,6 +39,10 @@ def op6_substring_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_words.dedup_words(table(spark, sf_dir, "documents", "doc_id", "text"), digest=True)
 
 
+def op7_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
@@ -52,5 +56,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, _tokenizer("byte_bpe_50k.json"), token_counts.fresh_cache(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op4_simhash, op5_quality, op6_substring_words, op8_decontaminate, op9_suffix_bytes, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op4_simhash, op5_quality, op6_substring_words, op7_embeddings, op8_decontaminate, op9_suffix_bytes, op10_token_counts)}
 ORACLES: dict[str, str] = {"op8_decontaminate": decontaminate.ORACLE}
