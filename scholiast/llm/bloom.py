@@ -39,54 +39,68 @@ class Filter:
     def fill(self) -> float:
         return float(np.unpackbits(self.data).mean())
 
-    def contains(self, h: np.ndarray) -> np.ndarray:
-        """For each uint64 hash, whether it may be a member. Later probes look only at what earlier ones left."""
+    def contains(self, h: np.ndarray, level: int = 0) -> np.ndarray:
+        """For each uint64 hash, whether it may be a member at that level. Later probes look only at what earlier ones left."""
         seg = (h >> U64(64 - SEGMENT_BITS)).astype(np.int64)
         left = np.flatnonzero(~self.empty[seg])
         for k in range(self.probes):
             s = seg[left]
-            at = self.start[s] + positions(h[left], self.mask[s], k).astype(np.int64)
+            at = self.start[s] + positions(h[left], self.mask[s], level * self.probes + k).astype(np.int64)
             left = left[(self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
         out = np.zeros(len(h), bool)
         out[left] = True
         return out
 
+    def levels(self, h: np.ndarray) -> np.ndarray:
+        """For each hash, how many levels hold it from the first on: one membership question a level, until the first no."""
+        out = np.zeros(len(h), np.int64)
+        left, level = np.arange(len(h)), 0
+        while len(left):
+            left = left[self.contains(h[left], level)]
+            level += 1
+            out[left] = level
+        return out
+
 
 def positions(h: np.ndarray, mask: np.ndarray, k: int) -> np.ndarray:
     return mix(h + U64((k + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))) & mask
 
 
-def build(hashes: DataFrame, *, least: int = 1, bits_per_entry: int = 8, probes: int = 3, max_bytes: int = 256 << 20) -> Filter:
+def build(hashes: DataFrame, *, least: int = 1, bits_per_entry: int = 8, probes: int = 3, max_bytes: int = 256 << 20, quantise=None) -> Filter:
     """Filter of every h whose counts n sum to `least` or more. hashes: (h long, n long), pre-summed by the caller as far as it can.
 
     Rows meet by segment, so one shuffle serves both the sums and the bits; segments are hash-uniform, whatever the data.
+    With quantise, a function of counts, an entry is held at the levels 0 to quantise(n) - 1, else at level 0 alone.
     """
     spark = hashes.sparkSession
     most = max(64, 1 << (max_bytes // SEGMENTS * 8).bit_length() - 1)
     seg = F.shiftrightunsigned("h", 64 - SEGMENT_BITS).cast("int")
     dealt = hashes.select(seg.alias("seg"), "h", "n").repartition(parts(spark), "seg")
-    summed = dealt.groupBy("seg", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("seg", "h")
+    summed = dealt.groupBy("seg", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("seg", "h", "n")
 
     def run(batches):
         held: dict[int, list] = {}
         for b in batches:
             s, h = b.column(0).to_numpy(), b.column(1).to_numpy().view(U64)
+            q = quantise(b.column(2).to_numpy()).astype(np.int16) if quantise else np.ones(len(h), np.int16)
             order = np.argsort(s, kind="stable")
-            s, h = s[order], h[order]
+            s, h, q = s[order], h[order], q[order]
             cut = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else []
             for a, e in zip(cut, [*cut[1:], len(s)]):
-                held.setdefault(int(s[a]), []).append(h[a:e])
+                held.setdefault(int(s[a]), []).append((h[a:e], q[a:e]))
         for s, many in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([pack(np.concatenate(many), bits_per_entry, probes, most)], pa.binary())], ["seg", "bits"])
+            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([pack(*(np.concatenate(x) for x in zip(*many)), bits_per_entry, probes, most)], pa.binary())], ["seg", "bits"])
 
     return Filter({r["seg"]: bytes(r["bits"]) for r in summed.mapInArrow(run, "seg int, bits binary").collect()}, probes)
 
 
-def pack(h: np.ndarray, bits_per_entry: int, probes: int, most: int) -> bytes:
-    size = min(most, max(64, 1 << int(len(h) * bits_per_entry - 1).bit_length()))
+def pack(h: np.ndarray, q: np.ndarray, bits_per_entry: int, probes: int, most: int) -> bytes:
+    size = min(most, max(64, 1 << int(int(q.sum()) * bits_per_entry - 1).bit_length()))
     flat = np.zeros(size, np.uint8)
-    for k in range(probes):
-        flat[positions(h, U64(size - 1), k).astype(np.int64)] = 1
+    for level in range(int(q.max())):
+        own = h[q > level]
+        for k in range(probes):
+            flat[positions(own, U64(size - 1), level * probes + k).astype(np.int64)] = 1
     return np.packbits(flat, bitorder="little").tobytes()
 
 

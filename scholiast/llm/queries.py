@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, embeddings, quality_fm, simhash, substring_words, suffix_bytes, token_counts, toxicity
+from . import bpe, decontaminate, embeddings, lm_filter, quality_fm, simhash, substring_words, suffix_bytes, token_counts, toxicity
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(docs, _tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_lm_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_filter.score(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -56,5 +60,5 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, _tokenizer("byte_bpe_50k.json"), token_counts.fresh_cache(spark))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op4_simhash, op5_quality, op6_substring_words, op7_embeddings, op8_decontaminate, op9_suffix_bytes, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_lm_filter, op4_simhash, op5_quality, op6_substring_words, op7_embeddings, op8_decontaminate, op9_suffix_bytes, op10_token_counts)}
 ORACLES: dict[str, str] = {"op8_decontaminate": decontaminate.ORACLE}
