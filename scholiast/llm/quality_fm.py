@@ -12,11 +12,12 @@ no inputs.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold
-from .features import STATS, pick, row_sums, sample_features, sigmoid, with_scores
+from .features import STATS, featurize, pick, row_sums, sample_features, sigmoid, with_scores
 
 BINS = 16
 
@@ -110,3 +111,17 @@ def train(docs: DataFrame, labels: DataFrame, *, max_rows: int = 16000, label: s
 def score(docs: DataFrame, model: FactorisationMachine, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row; null and empty texts get the score of a text without words."""
     return with_scores(docs, model, threshold, model.bits, (), id_col, text_col)
+
+
+def filter_documents(docs: DataFrame, model: FactorisationMachine, threshold: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose text scores `threshold` or more: a map, nothing is moved."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, 2000):
+                part = b.slice(k, 2000)
+                yield part.filter(pa.array(held.value(*featurize(part.column(at), held.value.bits)) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

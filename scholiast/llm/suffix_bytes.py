@@ -139,36 +139,34 @@ def _order_rows(batches, window):
         yield pa.RecordBatch.from_arrays([pa.array(d1[useful]), pa.array(d2[useful]), pa.ListArray.from_arrays(edges, pa.array(at)), pa.ListArray.from_arrays(edges, pa.array(n))], ["d1", "d2", "start", "number"])
 
 
+def cut(raw: bytes, spans: list[dict] | None, window: int) -> tuple[bytes, int, int]:
+    """(rest, bytes removed, runs removed) of raw without what the runs of windows (s: first, n: number) cover."""
+    left, done, gone, cuts, last = [], 0, 0, 0, -1
+    for s in sorted(spans or (), key=lambda x: x["s"]):
+        a, e = s["s"], s["s"] + s["n"] + window - 1
+        if a > last:
+            left.append(raw[done:a])
+            cuts += 1
+        gone += max(0, e - max(a, done))
+        done = last = max(done, e)
+    left.append(raw[done:])
+    return b"".join(left), gone, cuts
+
+
+def _encoded(text: pa.Scalar) -> bytes:
+    return (text.as_py() or "").encode("utf-8", "surrogatepass")
+
+
 def _cut_rows(batches, window):
     for b in batches:
-        n_bytes, n_removed, n_spans, kept = [], [], [], []
-        for text, spans in zip(b.column(1), b.column(2)):
-            raw = (text.as_py() or "").encode("utf-8", "surrogatepass")
-            left, done, gone, cuts = [], 0, 0, 0
-            last = -1
-            for s in sorted(spans.as_py() or (), key=lambda x: x["s"]):
-                a, e = s["s"], s["s"] + s["n"] + window - 1
-                if a > last:
-                    left.append(raw[done:a])
-                    cuts += 1
-                gone += max(0, e - max(a, done))
-                done = last = max(done, e)
-            left.append(raw[done:])
-            n_bytes.append(len(raw))
-            n_removed.append(gone)
-            n_spans.append(cuts)
-            kept.append(b"".join(left))
-        yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, pa.int64()) for x in (n_bytes, n_removed, n_spans)), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        raw = [_encoded(t) for t in b.column(1)]
+        done = [cut(r, s.as_py(), window) for r, s in zip(raw, b.column(2))]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(r) for r in raw], pa.int64()), pa.array([x[1] for x in done], pa.int64()), pa.array([x[2] for x in done], pa.int64()), pa.array([x[0] for x in done], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def dedup_bytes(docs: DataFrame, *, window: int = 200, gram: int = GRAM, digest: bool = False, id_col: str = "doc_id", text_col: str = "text", max_filter_bytes: int = 256 << 20) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept): each text's UTF-8 bytes without those that a repeated window covers.
-
-    A window of a repeated row also starts elsewhere. Rows with one id are taken to hold one text: each of them loses what any loses. Null and
-    empty texts have no bytes; null ids are kept. kept is binary, as a cut may fall inside a character; with digest=True, kept_sha256 in hex.
-    """
-    spark = docs.sparkSession
-    d = texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+def repeated_spans(d: DataFrame, window: int, gram: int, max_filter_bytes: int) -> DataFrame:
+    """(doc, spans): the runs of repeated windows of every document that has any, of d (doc_id long, text)."""
+    spark = d.sparkSession
     often = bloom.share(spark, bloom.build(d.mapInArrow(lambda it: _owner_rows(it, window, gram), "h long, n long"), least=2, max_bytes=max_filter_bytes))
     rows = d.mapInArrow(lambda it: _snippet_rows(it, window, gram, often.value), "k long, d1 long, d2 long, many long, body binary")
     ordered = rows.repartition(parts(spark), "k").sortWithinPartitions("k").mapInArrow(lambda it: _order_rows(it, window), "d1 long, d2 long, start array<long>, number array<long>")
@@ -176,7 +174,48 @@ def dedup_bytes(docs: DataFrame, *, window: int = 200, gram: int = GRAM, digest:
     places = d.mapInArrow(lambda it: _place_rows(it, window, gram, often.value), "d1 long, d2 long, doc long, at long")
     own = F.transform(F.arrays_zip("start", "number"), lambda x: F.struct((F.col("at") + x["start"]).alias("s"), x["number"].alias("n")))
     found = places.join(ordered, ["d1", "d2"]).select("doc", own.alias("spans")).groupBy("doc").agg(F.flatten(F.collect_list("spans")).alias("spans"))
-    found = stored(found, "suffix-spans")
-    joined = d.join(found.hint("shuffle_hash"), F.coalesce("doc_id", F.lit(NO_ID)) == F.col("doc"), "left").select("doc_id", "text", "spans")
+    return stored(found, "suffix-spans")
+
+
+def _with_spans(d: DataFrame, found: DataFrame) -> DataFrame:
+    # The spans are the built side, so texts move once and are not sorted.
+    return d.join(found.hint("shuffle_hash"), F.coalesce("doc_id", F.lit(NO_ID)) == F.col("doc"), "left").drop("doc")
+
+
+def dedup_bytes(docs: DataFrame, *, window: int = 200, gram: int = GRAM, digest: bool = False, id_col: str = "doc_id", text_col: str = "text", max_filter_bytes: int = 256 << 20) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept): each text's UTF-8 bytes without those that a repeated window covers.
+
+    A window of a repeated row also starts elsewhere. Rows with one id are taken to hold one text: each of them loses what any loses. Null and
+    empty texts have no bytes; null ids are kept. kept is binary, as a cut may fall inside a character; with digest=True, kept_sha256 in hex.
+    """
+    d = texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    joined = _with_spans(d, repeated_spans(d, window, gram, max_filter_bytes)).select("doc_id", "text", "spans")
     out = joined.mapInArrow(lambda it: _cut_rows(it, window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept") if digest else out
+
+
+def clean_documents(docs: DataFrame, *, window: int = 200, gram: int = GRAM, max_filter_bytes: int = 256 << 20) -> DataFrame:
+    """docs (doc_id, text, n_chars and any others) with repeated bytes out of text, and n_chars counted anew where something went.
+
+    Bytes of characters that a cut split are dropped. Rows stay, even those of which nothing is left.
+    """
+    d = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
+    spans = repeated_spans(d.select("doc_id", "text"), window, gram, max_filter_bytes)
+    at, n_at = d.columns.index("text"), d.columns.index("n_chars")
+
+    def run(batches):
+        for b in batches:
+            texts_, sizes = [], []
+            for t, n, s in zip(b.column(at), b.column(n_at), b.column(b.num_columns - 1)):
+                if s.as_py():
+                    left = cut(_encoded(t), s.as_py(), window)[0].decode("utf-8", "ignore")
+                    texts_.append(left)
+                    sizes.append(len(left))
+                else:
+                    texts_.append(t.as_py())
+                    sizes.append(n.as_py())
+            columns = b.columns[:-1]
+            columns[at], columns[n_at] = pa.array(texts_, b.schema.field(at).type), pa.array(sizes, b.schema.field(n_at).type)
+            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:-1])
+
+    return _with_spans(d, spans).mapInArrow(run, d.schema)
