@@ -1,4 +1,651 @@
-"""Registered queries of the engine and their SQL counterparts."""
+"""Registered queries of the engine, one or more for each operator, and their SQL counterparts.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Each runs over its whole tables. Operators whose inputs the shared tables lack (broken words, bibliographies, model answers) run over
+the constant cases below, which the SQL states again.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from . import oracles as O
+from .functions import alignment as A
+from .functions import structure as S
+from .functions import text as T
+from .operators import align, blocks, contexts, equations, margin, select
+from .plans import highlight
+from .plans.scorer import OfflineScorer, idea_kind
+from .sources import layout, stores
+from .streaming import progress
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+BK = ("doc_id", "block_pos")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def doc_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return layout.document_blocks(table(spark, d, "documents").select("doc_id", "text"))
+
+
+def web_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return layout.html_blocks(table(spark, d, "pages").select("page_id", "html"))
+
+
+def plain(b: DataFrame) -> DataFrame:
+    """Document blocks with references marked but no headings or sections: what frames over them need."""
+    b = b.withColumn("is_reference", S.is_reference_entry(F.col("text"))).withColumn("is_heading", F.lit(False)).withColumn("section_title", F.lit(None).cast("string"))
+    return b.withColumn("is_reference_page", F.lit(False))
+
+
+def constant(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def values(rows: list[tuple], *names: str) -> str:
+    """The same rows as a SQL table expression."""
+
+    def lit(v):
+        if v is None:
+            return "NULL"
+        return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+
+    return "(VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + f") AS v({', '.join(names)})"
+
+
+def block_function(name: str, column, sql: str):
+    """A query that applies a text function to every block."""
+    QUERIES[name] = lambda spark, d: doc_blocks(spark, d).select(*BK, column(F.col("text")).alias("value"))
+    ORACLES[name] = O.over_blocks(f"doc_id, block_pos, {sql} AS value")
+
+
+# --- text functions over blocks ----------------------------------------------------------------
+c = O.clean("text")
+block_function("clean_text", T.clean, c)
+block_function("tokenize", T.tokens, O.tokens("text"))
+block_function("first_token", T.first_token, f"coalesce({O.tokens('text')}[1], '')")
+block_function("note_title", T.note_title, f"coalesce(nullif(substr(trim({c}, ' :.-'), 1, 48), ''), 'Study note')")
+block_function("slugify", T.slug, "coalesce(nullif(trim(regexp_replace(lower(text), '[^a-z0-9]+', '-', 'g'), '-'), ''), 'paper')")
+block_function("compact_label", T.compact_label, f"replace({c}, ' ', '')")
+block_function("ends_sentence", T.ends_sentence, f"regexp_matches(text, '{O.END}')")
+block_function("sentence_count", lambda x: F.size(T.sentences(T.clean(x))), f"CAST(len({O.split(c, '.!?')}) AS INT)")
+_long = f"list_filter({O.split(c, '.!?:;', 'A-Z0-9' + chr(34) + chr(39) * 2 + '“(')}, lambda s: len({O.tokens('s')}) >= 5)"
+block_function("sentence_candidates", T.sentence_candidates, f"CASE WHEN {c} = '' THEN [] WHEN len({_long}) > 0 THEN {_long} ELSE [{c}] END")
+_s = O.split(c, ".!?")
+_two = f"array_to_string({_s}[1:2], ' ')"
+block_function("selected_quote", T.selected_quote, f"CASE WHEN {c} = '' THEN '' WHEN len({_s}) <= 2 AND {O.n_words(c)} <= 55 THEN {c} WHEN {O.n_words(_s + '[1]')} >= 8 THEN {_s}[1] WHEN len({_s}) >= 2 AND {O.n_words(_two)} <= 55 THEN {_two} ELSE {c} END")
+_m = "text"
+for mark in ("\\(", "\\)", "\\[", "\\]", "$"):
+    _m = f"replace({_m}, '{mark}', '')"
+for pattern, to in ((r"\\text\{([^}]*)\}", r"\1"), (r"\\mathbb\{E\}", "E"), (r"\\hat\{([^}]*)\}", r"\1-hat"), (r"\\mid", "|"), (r"\\[a-zA-Z]+", "")):
+    _m = f"regexp_replace({_m}, '{pattern}', '{to}', 'g')"
+_m = f"replace(replace({_m}, '{{', ''), '}}', '')"
+block_function("plain_math", T.plain_math, _m)
+_b = O.clean(_m)
+ORACLES["note_body"] = f"""WITH {O.BLOCKS}, x AS (SELECT doc_id, block_pos, {_b} AS b FROM b), y AS (SELECT *, {O.split('b', '.!?')} AS s, rtrim(substr(b, 1, 260), ' ,;:-') AS t FROM x),
+z AS (SELECT *, length(t) - strpos(reverse(t), ' ') AS cut FROM y)
+SELECT doc_id, block_pos, CASE WHEN length(b) <= 260 THEN b WHEN length(s[1]) <= 220 THEN s[1] WHEN len(s) >= 2 AND length(s[1] || ' ' || s[2]) <= 260 THEN s[1] || ' ' || s[2]
+ELSE rtrim(CASE WHEN contains(t, ' ') AND cut >= 180 THEN substr(t, 1, cut) ELSE t END, ' ,;:-') END AS value FROM z"""
+QUERIES["note_body"] = lambda spark, d: doc_blocks(spark, d).select(*BK, T.note_body(F.col("text")).alias("value"))
+
+
+# --- text functions over constant cases ----------------------------------------------------------
+EQUATIONS = [("Score definition", "(1)", "$z = x + y$", "z = x + y (1)"), ("", None, None, "a"), (" : Eq. - ", "(2)", "a@b", "x (2)"), ("Eq. (3) Update", "(3)", "\\text{where: many}", "w (3)"), ("A rather long title for one equation note", "(44)", "", "t"), ("Plain", "", "\\text{one two}  x", " q  r ")]
+
+
+@query(f"""SELECT title, CASE WHEN coalesce(label, '') = '' THEN t WHEN starts_with(t, 'Eq. ' || label || ' ') THEN t ELSE substr('Eq. ' || label || ' ' || t, 1, 34) END AS equation_title,
+CASE WHEN l IS NULL OR l = '' OR contains(l, '@') OR (contains(l, chr(92) || 'text{{') AND (contains(l, ':') OR len(regexp_extract_all(l, '[A-Za-z]{{4,}}')) > 6)) THEN NULL ELSE substr(l, 1, 220) END AS latex,
+CASE WHEN coalesce(label, '') <> '' AND ends_with(e, label) THEN rtrim(substr(e, 1, length(e) - length(label))) ELSE e END AS equation_text, coalesce(l, '') AS render_latex
+FROM (SELECT *, coalesce(nullif(substr(trim({O.clean('title')}, ' :.-'), 1, 34), ''), 'Equation note') AS t, {O.clean('equation')} AS e,
+regexp_replace(CASE WHEN starts_with(trim(latex), '$') AND ends_with(trim(latex), '$') THEN trim(substr(trim(latex), 2, length(trim(latex)) - 2)) ELSE trim(latex) END, '\\s+', ' ', 'g') AS l FROM {values(EQUATIONS, 'title', 'label', 'latex', 'equation')})""")
+def equation_fields(spark, d):
+    x = constant(spark, EQUATIONS, "title string, label string, latex string, equation string")
+    return x.select("title", T.equation_title(F.col("title"), F.col("label")).alias("equation_title"), T.equation_latex(F.col("latex")).alias("latex"), T.equation_text(F.col("equation"), F.col("label")).alias("equation_text"), F.regexp_replace(T.render_latex(F.col("latex")), T.SPACES, " ").alias("render_latex"))
+
+
+RESPONSES = [(1, '{"output_text":"<think>x</think> {\\"a\\":1}"}'), (2, '{"output":[{"type":"other"},{"type":"message","content":[{"type":"output_text","text":"hi"}]}]}'), (3, '{"choices":[{"message":{"content":" c "}}]}'), (4, '{"none":1}')]
+
+
+@query("SELECT * FROM (VALUES (1, '{\"a\":1}'), (2, 'hi'), (3, 'c'), (4, NULL)) AS v(id, answer)")
+def response_text(spark, d):
+    return constant(spark, RESPONSES, "id int, body string").select("id", T.response_text(F.col("body")).alias("answer"))
+
+
+ESCAPES = [(1, '{"body":"Use \\(x_t\\) here."}'), (2, '{"body":"fine \\n"}'), (3, "not json")]
+
+
+@query("SELECT * FROM (VALUES (1, '{\"body\":\"Use \\\\(x_t\\\\) here.\"}', 'Use \\(x_t\\) here.'), (2, '{\"body\":\"fine \\n\"}', 'fine ' || chr(10)), (3, 'not json', NULL)) AS v(id, repaired, body)")
+def repair_json(spark, d):
+    x = constant(spark, ESCAPES, "id int, t string")
+    return x.select("id", T.repaired_escapes(F.col("t")).alias("repaired"), T.parsed(F.col("t"), "body string")["body"].alias("body"))
+
+
+UPLOADS = [("paper.pdf", "application/octet-stream"), ("paper.bin", "application/pdf"), ("notes.txt", "text/plain"), (" A.PDF ", None)]
+
+
+@query(f"SELECT name, coalesce(lower(trim(name)) LIKE '%.pdf', false) OR coalesce(kind = 'application/pdf', false) AS ok FROM {values(UPLOADS, 'name', 'kind')}")
+def upload_check(spark, d):
+    return constant(spark, UPLOADS, "name string, kind string").select("name", T.is_pdf(F.col("name"), F.col("kind")).alias("ok"))
+
+
+SYMBOLS = [("z", "overall score"), ("", "none"), ("x", "first"), ("x", "second"), ("y", ""), ("a", "1"), ("b", "2"), ("c", "3")]
+
+
+@query("SELECT symbol, meaning FROM (VALUES ('z', 'overall score'), ('x', 'second'), ('a', '1'), ('b', '2')) AS v(symbol, meaning)")
+def symbol_map(spark, d):
+    x = constant(spark, [(SYMBOLS,)], "m array<struct<symbol:string,meaning:string>>")
+    return x.select(F.explode(T.symbol_map(F.col("m"))).alias("e")).select("e.symbol", "e.meaning")
+
+
+@query("SELECT doc_id, greatest(0, least(1, quality * 1.5 - 0.2)) AS confidence FROM labels")
+def confidence_clamp(spark, d):
+    return table(spark, d, "labels").select("doc_id", T.confidence(F.col("quality") * 1.5 - 0.2).alias("confidence"))
+
+
+BODIES = [("short body", "and why"), ("x" * 160, "not shown"), ("", "only this"), ("b", None)]
+
+
+@query(f"SELECT body, trim(substr(concat_ws(' ', nullif(body, ''), CASE WHEN length(body) < 150 THEN nullif(intuition, '') END), 1, 280)) AS value FROM {values(BODIES, 'body', 'intuition')}")
+def equation_note_body(spark, d):
+    return constant(spark, BODIES, "body string, intuition string").select("body", T.equation_body(F.col("body"), F.col("intuition")).alias("value"))
+
+
+@query(f"WITH {O.BLOCKS} SELECT doc_id, block_pos, 'Explain exactly what equation ' || block_id || '-eq is doing in this paper as a definition. Resolve symbols from the supplied page, section, and paper context before giving any interpretation.' AS equation, 'Explain the technical role of this highlighted passage in section unknown section.' AS note FROM b")
+def focus_questions(spark, d):
+    b = doc_blocks(spark, d)
+    return b.select(*BK, T.equation_question(F.lit(None).cast("string"), F.concat("block_id", F.lit("-eq")), F.lit("definition")).alias("equation"), T.note_question(F.lit(None).cast("string")).alias("note"))
+
+
+RANGES = [(1, None), (2, "bytes=0-3"), (3, "bytes=5-"), (4, "bytes=-4"), (5, "bytes=99-"), (6, "items=1")]
+
+
+@query("SELECT * FROM (VALUES (1, 200, 'abcdefghij'), (2, 206, 'abcd'), (3, 206, 'fghij'), (4, 206, 'ghij'), (5, 416, NULL), (6, 416, NULL)) AS v(id, status, body)")
+def byte_ranges(spark, d):
+    x = constant(spark, RANGES, "id int, h string").withColumn("c", F.lit("abcdefghij").cast("binary"))
+    return x.select("id", T.byte_range(F.col("c"), F.col("h")).alias("r")).select("id", "r.status", F.col("r.body").cast("string").alias("body"))
+
+
+@query("SELECT doc_id, sha256(text) AS paper_id, coalesce(nullif(substr(trim(regexp_replace(text, '\\s+', ' ', 'g')), 1, 160), ''), 'file') AS title FROM documents")
+def paper_identity(spark, d):
+    t = table(spark, d, "documents")
+    return t.select("doc_id", F.sha2("text", 256).alias("paper_id"), layout.title(F.lit(None).cast("string"), F.col("text"), F.lit("/x/file.pdf")).alias("title"))
+
+
+# --- blocks, pages, structure --------------------------------------------------------------------
+@query(f"WITH {O.BLOCKS} SELECT doc_id, page_number, block_pos, block_id, text, x0, y0, x1, y1, font FROM b")
+def blocks_from_documents(spark, d):
+    return doc_blocks(spark, d).drop("page_width", "page_height")
+
+
+@query(f"WITH {O.HTML} SELECT doc_id, page_number, block_pos, text, font, y0, y1 FROM b")
+def blocks_from_html(spark, d):
+    return web_blocks(spark, d).select("doc_id", "page_number", "block_pos", "text", "font", "y0", "y1")
+
+
+@query(f"WITH {O.BLOCKS}, w AS (SELECT doc_id, block_pos, x0, y0, unnest(string_split(text, ' ')) AS text, CAST(unnest(range(len(string_split(text, ' ')))) AS INT) AS word_pos FROM b) SELECT doc_id, block_pos, word_pos, word_pos // 12 AS line_number, text, coalesce({O.tokens('text')}[1], '') AS normalized, x0 + (word_pos % 12) * 40 AS x0, y0 + (word_pos // 12) * 12 AS y0 FROM w WHERE text <> ''")
+def words(spark, d):
+    return layout.words(doc_blocks(spark, d)).select("doc_id", "block_pos", "word_pos", "line_number", "text", "normalized", "x0", "y0")
+
+
+_MED = "list_sort(list({0}))[CAST(len(list({0})) // 2 AS BIGINT) + 1]"
+
+
+@query(f"WITH {O.BLOCKS} SELECT doc_id, page_number, {_MED.format('font')} AS base_font, {_MED.format('y1 - y0')} AS base_height FROM b GROUP BY doc_id, page_number")
+def page_baselines(spark, d):
+    return blocks.baselines(doc_blocks(spark, d))
+
+
+_TITLED = "len(list_filter(ws, lambda w: regexp_matches(w, '^\\p{Lu}')))"
+_HEADING_SQL = rf"""WITH {O.HTML}, base AS (SELECT doc_id, page_number, {_MED.format('font')} AS bf, {_MED.format('y1 - y0')} AS bh FROM b GROUP BY doc_id, page_number),
+x AS (SELECT b.*, bf, trim(text) AS t, list_filter(string_split_regex(trim(text), '\s+'), lambda w: w <> '') AS ws FROM b JOIN base USING (doc_id, page_number)),
+y AS (SELECT *, len(ws) AS n, {_TITLED} AS nt, list_sum(list_transform(ws, lambda w: length(w))) AS nl FROM x),
+hd AS (SELECT *, length(t) BETWEEN 3 AND 110 AND NOT ends_with(t, '.') AND (regexp_matches(t, '(?i)^(abstract|introduction|background|related work|method|methods|experiments|results|discussion|conclusion|references)\b')
+OR (n <= 8 AND font >= greatest(bf * 1.15, bf + 0.8) AND len(list_filter(ws, lambda w: regexp_matches(w, '\d'))) <= 1 AND NOT regexp_matches(t, '[@#%=\[\]()+]')
+AND CASE WHEN nt = n THEN nl >= 4 WHEN n >= 3 AND nt >= n - 1 THEN true ELSE len(list_filter(ws, lambda w: NOT regexp_matches(w, '^\p{{L}}+$'))) = 0 AND n <= 3 AND nl >= 8 AND regexp_matches(ws[1], '^\p{{Lu}}') AND len(list_filter(ws, lambda w: regexp_matches(w, '^\p{{Ll}}$'))) = 0 END)) AS is_heading FROM y)"""
+
+
+@query(_HEADING_SQL + " SELECT doc_id, block_pos, text, coalesce(is_heading, false) AS is_heading FROM hd")
+def headings(spark, d):
+    return blocks.with_headings(web_blocks(spark, d)).select("doc_id", "block_pos", "text", "is_heading")
+
+
+@query(_HEADING_SQL + " SELECT doc_id, block_pos, last_value(CASE WHEN is_heading THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page_number, block_pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section_title FROM hd")
+def section_titles(spark, d):
+    return blocks.with_sections(blocks.with_headings(web_blocks(spark, d))).select("doc_id", "block_pos", "section_title")
+
+
+REFERENCES = [("9. REFERENCES",), ("8. CONCLUSION AND FUTURE WORK",), ("References",), ("[3] A. Author, 2016",), ("as shown (2016) before",), ("plain prose",), ("5.4 Can I trust this model? In the final simulated user experiment",), ("4. SUBMODULAR PICK FOR EXPLAINING MODELS Although an explanation",)]
+
+
+@query(f"SELECT text, regexp_matches(trim(text), '{O.REF_HEAD}') AS heading, regexp_matches(trim(text), '{O.REF_ENTRY}') AS entry, CASE WHEN starts_with(text, '5.4') THEN '5.4 Can I trust this model?' WHEN starts_with(text, '4.') THEN '4. SUBMODULAR PICK FOR EXPLAINING MODELS' WHEN starts_with(text, '8.') THEN '8. CONCLUSION AND FUTURE WORK' END AS title FROM {values(REFERENCES, 'text')}")
+def references(spark, d):
+    x = constant(spark, REFERENCES, "text string")
+    return x.select("text", S.is_reference_heading(F.col("text")).alias("heading"), S.is_reference_entry(F.col("text")).alias("entry"), S.leading_section_title(F.col("text")).alias("title"))
+
+
+@query(f"WITH {O.BLOCKS} SELECT doc_id, page_number, count(*) FILTER (WHERE regexp_matches(trim(text), '{O.REF_HEAD}')) > 0 OR count(*) FILTER (WHERE {O.is_ref}) >= 5 AS is_reference_page FROM b GROUP BY ALL")
+def reference_pages(spark, d):
+    return blocks.reference_pages(doc_blocks(spark, d))
+
+
+@query(f"WITH {O.BLOCKS} SELECT doc_id, block_pos, CAST({O.WORD_COUNT} AS INT) AS word_count, {O.CANDIDATE} AS is_candidate FROM b")
+def candidate_blocks(spark, d):
+    b = blocks.with_word_counts(plain(doc_blocks(spark, d)))
+    return b.select(*BK, "word_count", S.is_candidate(F.col("text"), F.col("section_title"), F.col("is_heading"), F.col("word_count"), F.col("is_reference_page")).alias("is_candidate"))
+
+
+_SPAN = "len(string_split(text, ' '))"
+_MC, _ML = "len(regexp_extract_all(t, '[=+\\-/*^_\\[\\](){}<>|]'))", "regexp_matches(t, '\\((\\d+)\\)\\s*$')"
+_MW = "regexp_matches(t, '(?i)\\b(argmin|argmax|exp|log|sum|prod|min|max|s\\.t\\.|subject to)\\b')"
+_EQ = f"""(length(t) BETWEEN 1 AND 220 AND ceil({_SPAN} / 12.0) <= 5 AND NOT (ends_with(t, '.') AND {_MC} < 3 AND NOT {_MW})
+AND (({_ML} AND {_MC} >= 1) OR ({_MW} AND ({_MC} >= 2 OR centred)) OR ({_MC} >= 4 AND centred AND (x1 - x0) / 612 <= 0.75)
+OR ({_MC} >= 6 AND len(regexp_extract_all(t, '\\p{{Nd}}')) >= 1 AND len(regexp_extract_all(t, '\\p{{L}}')) <= greatest(18, length(t) // 2))))"""
+
+
+@query(f"WITH {O.BLOCKS}, x AS (SELECT *, {c} AS t, abs((x0 + x1) / 2 - 306) <= 612 * 0.18 AS centred FROM b) SELECT doc_id, block_pos, {_EQ} AS looks FROM x")
+def equation_like(spark, d):
+    lines = F.ceil(F.size(F.split("text", " ")) / 12)
+    return doc_blocks(spark, d).select(*BK, S.looks_like_equation(F.col("text"), F.col("x0"), F.col("x1"), lines, F.col("page_width")).alias("looks"))
+
+
+_TAIL = "regexp_replace(lower(list_last(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> ''))), '^[^\\p{L}\\p{N}_]+|[^\\p{L}\\p{N}_]+$', '', 'g')"
+
+
+@query(O.over_blocks(f"doc_id, block_pos, {O.n_words('text')} >= 5 AND ({_TAIL} NOT IN {T.DANGLING} OR regexp_matches({c}, '{O.END}')) AS ok"))
+def accept_highlight(spark, d):
+    return doc_blocks(spark, d).select(*BK, S.accept_highlight(F.col("text")).alias("ok"))
+
+
+_QW = "list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')"
+
+
+@query(O.over_blocks(f"""doc_id, block_pos, round(greatest(0, least(1, (CASE WHEN contains(text, '=') THEN 0.35 ELSE 0 END)
++ (CASE WHEN regexp_matches(text, '(?i)\\b(where|denote|denotes|let|defined as|is the|are the)\\b') OR contains(lower(text), 'equation') THEN 0.35 ELSE 0 END)
++ least(0.25, len(list_filter({_QW}, lambda w: length(w) >= 3 AND regexp_matches(w, '\\p{{L}}'))) * 0.04) - least(0.3, len(regexp_extract_all(text, '\\( \\)')) * 0.1)
+- (CASE WHEN len(list_filter({_QW}, lambda w: regexp_matches(w, '^\\p{{L}}$'))) / len({_QW}) > 0.55 THEN 0.15 ELSE 0 END))), 6) AS quality"""))
+def equation_quality(spark, d):
+    return doc_blocks(spark, d).select(*BK, F.round(S.equation_quality(F.col("text"), F.col("text")), 6).alias("quality"))
+
+
+EXPLAINED = [("Corrupt input", "b", "i", "z", True), ("Fine", "too garbled to say", "i", "z", True), ("Fine", "b", "i", None, True), ("Fine", "b", "i", "z", False), ("Fine", "b", None, "z", True)]
+
+
+@query(f"SELECT title, body, latex IS NOT NULL AND g AND NOT contains(lower(title), 'corrupt') AND NOT regexp_matches(lower(concat_ws(' ', body, intuition)), 'corrupt|cannot be recovered|too garbled|cannot be reconstructed|too broken') AS ok FROM {values(EXPLAINED, 'title', 'body', 'intuition', 'latex', 'g')}")
+def accept_explanation(spark, d):
+    x = constant(spark, EXPLAINED, "title string, body string, intuition string, latex string, g boolean")
+    return x.select("title", "body", S.accept_explanation(*(F.col(n) for n in ("title", "body", "intuition", "latex", "g"))).alias("ok"))
+
+
+@query(f"WITH {O.BLOCKS} SELECT DISTINCT doc_id, page_number, block_pos, true AS inside FROM b WHERE false UNION ALL SELECT doc_id, page_number, block_pos, coalesce(avg(CAST(y0 + (w // 12) * 12 + 5 BETWEEN y0 - 2 AND y1 + 2 AND x0 + (w % 12) * 40 + 18 BETWEEN x0 - 2 AND x1 + 2 AS INT)), 1) >= 0.8 AS inside FROM (SELECT *, unnest(string_split(text, ' ')) AS word, unnest(range(len(string_split(text, ' ')))) AS w FROM b) WHERE word <> '' GROUP BY ALL")
+def words_in_box(spark, d):
+    b = doc_blocks(spark, d)
+    return blocks.words_in_box(b, layout.words(b))
+
+
+@query(f"WITH {O.BLOCKS} SELECT b.doc_id, b.block_pos, count(*) AS n FROM b JOIN (SELECT doc_id, page_number, x0 + (w % 12) * 40 + 18 AS cx, y0 + (w // 12) * 12 + 5 AS cy FROM (SELECT *, unnest(string_split(text, ' ')) AS word, unnest(range(len(string_split(text, ' ')))) AS w FROM b) WHERE word <> '') p ON b.doc_id = p.doc_id AND b.page_number = p.page_number AND cx BETWEEN b.x0 AND b.x1 AND cy BETWEEN b.y0 AND b.y1 GROUP BY ALL")
+def words_by_place(spark, d):
+    b = doc_blocks(spark, d)
+    return blocks.words_by_place(b, layout.words(b)).groupBy("doc_id", "block_pos").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {O.BLOCKS} SELECT doc_id, CAST(count(DISTINCT page_number) AS BIGINT) AS content_pages, greatest(4, count(DISTINCT page_number) * 2) AS budget, greatest(4, least(10, count(DISTINCT page_number) * 2)) AS ideas FROM b GROUP BY doc_id")
+def highlight_budget(spark, d):
+    return blocks.budget(plain(doc_blocks(spark, d)))
+
+
+@query(_HEADING_SQL + f", se AS (SELECT *, last_value(CASE WHEN is_heading THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page_number, block_pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM hd) SELECT doc_id, count(DISTINCT nullif(trim(s), '')) FILTER (WHERE NOT coalesce(is_heading, false) AND NOT {O.is_ref}) >= 2 AS useful FROM se GROUP BY doc_id")
+def useful_sections(spark, d):
+    return blocks.useful_sections(blocks.with_references(blocks.with_sections(blocks.with_headings(web_blocks(spark, d)))))
+
+
+# --- alignment --------------------------------------------------------------------------------------
+_Q = f"SELECT item_id, CAST(unnest(range(len(s))) AS INT) AS sentence, unnest(s) AS s FROM (SELECT item_id, {O.split('text', '.!?')} AS s FROM benchmark)"
+
+
+@query(f"""WITH q AS (SELECT item_id, sentence, {O.tokens('s')} AS q FROM ({_Q})), qq AS (SELECT *, len(q) AS n, array_to_string(q, ' ') AS body FROM q WHERE len(q) BETWEEN 5 AND 60),
+d AS (SELECT doc_id, {O.tokens('text')} AS t FROM documents), sizes AS (SELECT DISTINCT n FROM qq),
+g AS (SELECT doc_id, n, a - 1 AS start, array_to_string(t[a:a + n - 1], ' ') AS body FROM (SELECT doc_id, t, n, unnest(range(1, len(t) - n + 2)) AS a FROM d, sizes WHERE len(t) >= n))
+SELECT item_id, sentence, doc_id, count(*) AS hits, CASE WHEN count(*) = 1 THEN CAST(min(start) AS INT) END AS start FROM g JOIN qq ON g.n = qq.n AND g.body = qq.body GROUP BY item_id, sentence, doc_id""")
+def align_exact(spark, d):
+    return align.exact_alignment(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", "text"))
+
+
+REPAIRS = [("w e com bine the state v ariable and mo del parameters in to one estimate", "we com bine the state variable and model parameters into one estimate"), ("factor analysis is used with output noise", "factor analysis is used with output noise")]
+
+
+@query(f"SELECT input, expected AS repaired FROM {values(REPAIRS, 'input', 'expected')}")
+def repair_fragments(spark, d):
+    return constant(spark, REPAIRS, "input string, expected string").select("input", A.repair_text_udf("input").alias("repaired"))
+
+
+def case_words(text: str) -> list[tuple]:
+    """Words of an alignment case: '/' starts a line, '||' a block."""
+    out, line, block, x = [], 0, 0, 0
+    for w in text.split():
+        if w in ("/", "||"):
+            line, block, x = line + 1, block + (w == "||"), 0
+            continue
+        out.append((len(out), w, w.lower(), f"p1-b{block}", x * 12.0, 10.0 + 12 * line, x * 12.0 + 10, 20.0 + 12 * line))
+        x += 1
+    return out
+
+
+WORD = "array<struct<word_pos:int,text:string,normalized:string,block_id:string,x0:double,y0:double,x1:double,y1:double>>"
+ALIGNED = [
+    ("unique", "This system aligns a contiguous quote back to the PDF words", "aligns a contiguous quote back to the PDF words", "This system aligns a contiguous quote back to the PDF words", 1),
+    ("ambiguous", "result claim result claim", "result claim", None, None),
+    ("two lines", "Only the output of the system is observed, the state and all the noise / variables are hidden.", "Only the output of the system is observed", "Only the output of the system is observed, the state and all the noise variables are hidden.", 2),
+    ("block stop", "These posterior probabilities form the basis of the E step of the || Finally we continue.", "These posterior probabilities form the basis of the E step of the", "These posterior probabilities form the basis of the E step of the", 1),
+    ("heading stop", "Then, we select the classifier with || 6.2 Can users", "we select the classifier with", "Then, we select the classifier with", 1),
+]
+
+
+@query(f"SELECT name, matched, lines FROM {values([(n, m, k) for n, _, _, m, k in ALIGNED], 'name', 'matched', 'lines')}")
+def align_cases(spark, d):
+    x = constant(spark, [(n, case_words(w), q) for n, w, q, _, _ in ALIGNED], f"name string, words {WORD}, quote string")
+    a = align.align_quotes(x)
+    return a.select("name", F.col("aligned.matched_text").alias("matched"), F.when(F.col("aligned.boxes").isNotNull(), F.size("aligned.boxes")).alias("lines"))
+
+
+@query()
+def align_first_sentences(spark, d):
+    """Every candidate block's first sentence, as a stub would quote it, aligned in its context: exact, fuzzy or repaired."""
+    b = contexts.context_words(blocks.attach_words(blocks.with_word_counts(plain(doc_blocks(spark, d))), layout.words(doc_blocks(spark, d))))
+    q = b.where("word_count >= 12").withColumn("quote", F.array_join(F.slice(F.split(F.coalesce(F.get(T.sentences(T.clean(F.col("text"))), F.lit(0)), F.lit("")), " "), 1, 32), " "))
+    return align.align_quotes(q, "context", "quote").select(*BK, F.col("aligned.matched_text").alias("matched"), F.size("aligned.boxes").alias("lines"))
+
+
+@query()
+def anchor_ranking(spark, d):
+    """Ranked anchors of every candidate block for an idea taken from its first words."""
+    b = blocks.with_word_counts(plain(doc_blocks(spark, d))).where("word_count >= 12")
+    said = F.array_join(F.slice(F.split("text", " "), 1, 12), " ")
+    return b.select(*BK, A.ranked_anchors_udf(F.col("text"), F.lit("method"), said).alias("anchors"))
+
+
+GROUNDED = [("z = x + y", "x_{t+1} = A x_t + w_t", False), ("x_{t+1} = A x_t + w_t", "x_{t+1} = A x_t + w_t", True)]
+
+
+@query(f"SELECT latex, expected AS grounded FROM {values(GROUNDED, 'latex', 'source', 'expected')}")
+def grounding(spark, d):
+    return constant(spark, GROUNDED, "latex string, source string, expected boolean").select("latex", A.grounded_udf("latex", "source").alias("grounded"))
+
+
+@query(O.over_blocks(f"doc_id, block_pos, {c} AS matched, x0, y0, x0 + least(12, len(string_split(text, ' '))) * 40 - 4 AS x1, y0 + (len(string_split(text, ' ')) - 1) // 12 * 12 + 10 AS y1", "WHERE NOT contains(text, '  ') AND NOT starts_with(text, ' ') AND NOT ends_with(text, ' ')"))
+def align_whole_blocks(spark, d):
+    """All words of a block as one match: text and bounding box."""
+    b = doc_blocks(spark, d).where("NOT contains(text, '  ') AND NOT startswith(text, ' ') AND NOT endswith(text, ' ')")
+    g = layout.words(b).groupBy(*BK).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_pos", "text"))), lambda w: w["text"]), " ").alias("t"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    return g.select(*BK, T.clean(F.col("t")).alias("matched"), "x0", "y0", "x1", "y1")
+
+
+@query(f"WITH {O.BLOCKS}, w AS (SELECT doc_id, page_number, block_pos, y0 + (w // 12) * 12 + 5 AS mid, w FROM (SELECT *, unnest(string_split(text, ' ')) AS word, unnest(range(len(string_split(text, ' ')))) AS w FROM b) WHERE word <> ''), l AS (SELECT *, CASE WHEN abs(mid - lag(mid) OVER o) > 2.5 THEN 1 ELSE 0 END AS new FROM w WINDOW o AS (PARTITION BY doc_id, block_pos ORDER BY w)) SELECT doc_id, block_pos, CAST(sum(new) + 1 AS BIGINT) AS lines FROM l GROUP BY ALL")
+def word_lines(spark, d):
+    w = layout.words(doc_blocks(spark, d)).withColumn("mid", (F.col("y0") + F.col("y1")) / 2)
+    o = Window.partitionBy(*BK).orderBy("word_pos")
+    new = F.when(F.abs(F.col("mid") - F.lag("mid").over(o)) > A.LINE_GAP, 1).otherwise(0)
+    return w.withColumn("new", new).groupBy(*BK).agg((F.sum("new") + 1).alias("lines"))
+
+
+# --- contexts ---------------------------------------------------------------------------------------
+_BODY = f"{O.BLOCKS}, p AS (SELECT *, {c} AS t FROM b WHERE NOT {O.is_ref})"
+_CAP, _SAY = "regexp_matches(t, '(?i)^(figure|table|algorithm)\\s+\\d+')", "regexp_matches(t, '(?i)\\b(where|denote|denotes|let|defined as|is the|are the)\\b')"
+
+
+@query(f"WITH {_BODY}, f AS (SELECT doc_id, block_pos, t, {_CAP} AS cap, {O.frame('t', -2, 2)} AS l, {O.frame(_CAP, -2, 2)} AS lc, {O.frame('block_pos', -2, 2)} AS lp, {O.frame('t', -2, 3, _SAY)} AS s, {O.frame(_CAP, -2, 1)} AS k, {O.frame('text', -4, 4)} AS pg FROM p) SELECT doc_id, block_pos, substr(array_to_string(list_transform(list_filter(list_zip(l, lc, lp), lambda z: z[3] = block_pos OR NOT z[2]), lambda z: z[1]), ' '), 1, 1500) AS local_context, coalesce(substr(array_to_string(s, ' '), 1, 1000), '') AS symbol_context, CASE WHEN list_contains(k, true) THEN 'caption-linked' ELSE 'equation' END AS source_kind, substr(array_to_string(pg, ' '), 1, 2600) AS page_context FROM f")
+def equation_contexts(spark, d):
+    return contexts.equation_contexts(plain(doc_blocks(spark, d))).select(*BK, "local_context", "symbol_context", "source_kind", "page_context")
+
+
+@query(f"WITH {_BODY}, f AS (SELECT doc_id, block_pos, {O.frame('text', -1, 1)} AS n FROM p) SELECT doc_id, block_pos, substr(array_to_string(n, ' '), 1, 1400) AS note_context FROM f")
+def note_contexts(spark, d):
+    return contexts.note_context(plain(doc_blocks(spark, d))).select(*BK, "note_context")
+
+
+@query(f"WITH {_BODY} SELECT doc_id, substr(string_agg(text, ' ' ORDER BY block_pos), 1, 18000) AS article, substr(string_agg(text, ' ' ORDER BY block_pos) FILTER (WHERE rn <= 18), 1, 3200) AS overview FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY block_pos) AS rn FROM p) GROUP BY doc_id")
+def document_contexts(spark, d):
+    b = plain(doc_blocks(spark, d))
+    return contexts.article(b).join(contexts.overview(b), "doc_id")
+
+
+@query(_HEADING_SQL + f", se AS (SELECT *, last_value(CASE WHEN is_heading THEN text END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY page_number, block_pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM hd) SELECT doc_id, s AS section_title, substr(string_agg(text, ' ' ORDER BY block_pos), 1, 2400) AS section_context FROM se WHERE NOT coalesce(is_heading, false) AND NOT {O.is_ref} GROUP BY doc_id, s")
+def section_contexts(spark, d):
+    return contexts.section_context(blocks.with_references(blocks.with_sections(blocks.with_headings(web_blocks(spark, d)))))
+
+
+@query(f"WITH {_BODY}, band AS (SELECT a.doc_id, a.block_pos AS anchor, q.block_pos, q.text, row_number() OVER (PARTITION BY a.doc_id, a.block_pos ORDER BY q.block_pos) AS rn FROM p a JOIN p q ON a.doc_id = q.doc_id AND q.page_number BETWEEN a.page_number - 1 AND a.page_number + 1), me AS (SELECT doc_id, anchor, rn AS mine FROM band WHERE anchor = block_pos) SELECT doc_id, anchor AS block_pos, substr(string_agg(text, ' ' ORDER BY block_pos) FILTER (WHERE abs(rn - mine) <= 8), 1, 3000) AS neighbours FROM band JOIN me USING (doc_id, anchor) GROUP BY doc_id, anchor")
+def neighbour_contexts(spark, d):
+    b = plain(doc_blocks(spark, d))
+    return contexts.neighbours(b, b.where(~F.col("is_reference"))).select(*BK, "neighbours")
+
+
+@query()
+def paper_outlines(spark, d):
+    return contexts.paper_outline(blocks.structured(web_blocks(spark, d)))
+
+
+# --- choosing -----------------------------------------------------------------------------------------
+_IDEA = f"""{O.BLOCKS}, cand AS (SELECT *, {O.WORD_COUNT} AS wc FROM b WHERE {O.CANDIDATE}), n AS (SELECT doc_id, greatest(4, least(10, count(DISTINCT page_number) * 2)) AS k FROM b GROUP BY doc_id),
+ideas AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY wc DESC, block_pos) AS r FROM cand JOIN n USING (doc_id))"""
+_LABEL = "CASE WHEN contains(lower(text), 'result') THEN 'result' WHEN contains(lower(text), 'method') OR contains(lower(text), 'align') THEN 'method' WHEN contains(lower(text), 'propose') THEN 'contribution' ELSE 'definition' END"
+
+
+@query(f"WITH {_IDEA} SELECT doc_id, CAST(r AS INT) AS rank, block_pos, {_LABEL} AS label FROM ideas WHERE r <= k")
+def key_ideas_by_rank(spark, d):
+    """The stand-in model's ideas as plain expressions: longest blocks first, label by keyword."""
+    b = blocks.with_word_counts(plain(doc_blocks(spark, d)))
+    n = blocks.budget(b)
+    cand = b.where((F.col("word_count") >= 12) & ~F.col("is_reference"))
+    r = cand.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("word_count"), "block_pos"))).where(F.col("rank") <= 10).join(n, "doc_id").where(F.col("rank") <= F.col("ideas"))
+    low = F.lower("text")
+    label = F.when(F.contains(low, F.lit("result")), "result").when(F.contains(low, F.lit("method")) | F.contains(low, F.lit("align")), "method").when(F.contains(low, F.lit("propose")), "contribution").otherwise("definition")
+    return r.select("doc_id", "rank", "block_pos", label.alias("label"))
+
+
+@query(f"WITH {_IDEA} SELECT doc_id, CAST(r AS INT) AS rank, block_pos, {_LABEL} AS label FROM ideas WHERE r <= k")
+def key_ideas_by_model(spark, d):
+    """The same ideas through the scorer interface: requests as JSON, answers parsed and checked."""
+    b = blocks.with_word_counts(plain(doc_blocks(spark, d)))
+    b = b.withColumn("is_candidate", (F.col("word_count") >= 12) & ~F.col("is_reference"))
+    i = highlight.key_ideas(b, OfflineScorer())
+    return i.join(b.select("doc_id", "block_id", "block_pos"), ["doc_id", "block_id"]).select("doc_id", (F.col("idea_pos") + 1).alias("rank"), "block_pos", "label")
+
+
+_H = "SELECT conv_id, turn, role FROM conversations"
+
+
+@query("WITH x AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS f, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations), y AS (SELECT *, count(*) FILTER (WHERE f = 1) OVER (PARTITION BY conv_id) AS k, count(*) FILTER (WHERE f = 1) OVER (PARTITION BY conv_id ORDER BY turn) AS j FROM x) SELECT conv_id, turn, role FROM y WHERE n <= 2 OR (k >= 2 AND f = 1 AND j <= 2) OR (k < 2 AND i <= 2)")
+def page_cap(spark, d):
+    """Turns as highlights, roles as blocks: two a conversation."""
+    return select.page_cap(table(spark, d, "conversations").select("conv_id", "turn", "role"), 2, ["conv_id"], "role", "turn")
+
+
+@query("SELECT conv_id, role, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM conversations) WHERE n = 1")
+def first_per_key(spark, d):
+    return select.first_per(table(spark, d, "conversations").select("conv_id", "role", "turn"), ["conv_id", "role"], ["turn"])
+
+
+@query("WITH f AS (SELECT conv_id, role, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS n FROM conversations) WHERE n = 1) SELECT conv_id, role, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM f) WHERE n <= 2")
+def equation_cap(spark, d):
+    return select.equations_per_page(table(spark, d, "conversations").select("conv_id", "role", "turn"), 2, ["conv_id"], "role", "turn")
+
+
+@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY CASE WHEN event_type IN ('click', 'view') THEN 0 ELSE 1 END, value DESC NULLS LAST, event_id) AS n FROM (SELECT user_id, event_id, event_type, value FROM events)) WHERE n <= 2")
+def rebalance(spark, d):
+    """Events as equations: clicks stand for objectives and views for updates, both critical."""
+    role = F.when(F.col("event_type") == "click", "objective").when(F.col("event_type") == "view", "update").otherwise("result")
+    e = table(spark, d, "events").select("user_id", "event_id", role.alias("role"), "value")
+    return select.rebalanced(e, 2, ["user_id"], "role", "value", "event_id").select("user_id", "event_id")
+
+
+@query("SELECT doc_id, coalesce(quality, -1) AS quality, coalesce(toxic, -1) AS toxic FROM documents LEFT JOIN labels USING (doc_id)")
+def join_with_default(spark, d):
+    return select.with_default(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), ["doc_id"], {"quality": F.lit(-1), "toxic": F.lit(-1)})
+
+
+@query("SELECT doc_id, 'selection_skip' AS type, 'unknown_block' AS reason FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def skipped_rows(spark, d):
+    return select.skipped(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), ["doc_id"], "unknown_block")
+
+
+@query("SELECT doc_id, CASE WHEN quality = 1 AND toxic = 0 THEN 'retry' ELSE 'first' END AS answer FROM labels")
+def retry_replaces(spark, d):
+    t = table(spark, d, "labels")
+    return select.replaced(t.select("doc_id", F.lit("first").alias("answer")), t.where("quality = 1 AND toxic = 0").select("doc_id", F.lit("retry").alias("answer")), ["doc_id"], ["answer"])
+
+
+# --- equations ----------------------------------------------------------------------------------------
+@query(f"WITH {_BODY}, x AS (SELECT *, abs((x0 + x1) / 2 - 306) <= 612 * 0.18 AS centred FROM p) SELECT doc_id, block_id || '-eq' AS equation_id FROM x WHERE {_EQ}")
+def equation_blocks(spark, d):
+    return equations.block_candidates(plain(doc_blocks(spark, d))).select("doc_id", "equation_id")
+
+
+#: One page: an equation in three pieces with its label, and prose around it.
+EQUATION_PAGE = [
+    (1, 1, 0, "p1-b0", "We define the scoring rule where z is the overall score", 50.0, 520.0, 560.0, 560.0, 11.0),
+    (1, 1, 1, "p1-b1", "z", 140.0, 565.0, 180.0, 600.0, 14.0),
+    (1, 1, 2, "p1-b2", "= x +", 200.0, 566.0, 300.0, 600.0, 14.0),
+    (1, 1, 3, "p1-b3", "y (1)", 320.0, 564.0, 520.0, 601.0, 14.0),
+    (1, 1, 4, "p1-b4", "The remaining text of the page says what follows from it.", 50.0, 640.0, 560.0, 660.0, 11.0),
+]
+
+
+@query("SELECT * FROM (VALUES ('p1-b1-eqrow', 'z = x + y', '(1)'), ('p1-b3-eq', 'y', '(1)')) AS v(equation_id, equation_text, equation_label)")
+def equation_rows(spark, d):
+    b = constant(spark, EQUATION_PAGE, "doc_id long, page_number int, block_pos int, block_id string, text string, x0 double, y0 double, x1 double, y1 double, font double")
+    b = blocks.with_word_counts(plain(b.withColumn("page_width", F.lit(612.0))))
+    return equations.candidates(b).select("equation_id", "equation_text", "equation_label")
+
+
+@query("SELECT '(1)' AS matched, 1 AS boxes")
+def equation_anchor(spark, d):
+    x = constant(spark, [(case_words("z = x + y (1)"), "(1)", [])], f"words {WORD}, label string, beside array<struct<text:string,words:{WORD}>>")
+    return x.select(equations.equation_anchor_udf("words", "label", "beside").alias("a")).select(F.col("a.matched_text").alias("matched"), F.size("a.boxes").alias("boxes"))
+
+
+@query(f"WITH {O.BLOCKS}, m AS (SELECT doc_id, page_number, count(*) AS n, sum(font) AS s FROM b GROUP BY ALL) SELECT doc_id, page_number, round(s / n, 6) AS avg_font FROM m")
+def average_fonts(spark, d):
+    return blocks.average_font(doc_blocks(spark, d).withColumnRenamed("font", "size"), "doc_id", "page_number").withColumn("avg_font", F.round("avg_font", 6))
+
+
+# --- margin -------------------------------------------------------------------------------------------
+def margin_notes(spark, d):
+    b = doc_blocks(spark, d)
+    return b.select("doc_id", "page_number", F.col("block_id").alias("note_id"), F.substring("text", 1, 48).alias("title"), F.substring("text", 1, 260).alias("body"), F.pmod("block_pos", F.lit(2)).alias("priority"), ((F.col("y0") + F.col("y1")) / 2).alias("anchor_y"), F.lit(False).alias("has_latex"), F.lit(0).alias("symbols"))
+
+
+_NOTE_H = "(22 + greatest(1, ceil(length(substr(text, 1, 48)) / 29.0)) * 14 + greatest(3, ceil(length(substr(text, 1, 260)) / 38.0) + 1) * 12)"
+
+
+@query(f"""WITH {O.BLOCKS}, n AS (SELECT *, {_NOTE_H} AS h, (y0 + y1) / 2 AS a, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY (y0 + y1) / 2, block_pos % 2, block_id) AS i FROM b), k AS (SELECT * FROM n WHERE i <= 5),
+q AS (SELECT *, sum(h + 12) OVER w - h - 12 AS p, greatest(24, least(a - h / 2, 768 - h)) AS want FROM k WINDOW w AS (PARTITION BY doc_id, page_number ORDER BY i)),
+r AS (SELECT *, p + max(want - p) OVER (PARTITION BY doc_id, page_number ORDER BY i) AS y FROM q), s AS (SELECT *, greatest(0, max(y + h) OVER g - 768) AS o, min(y) OVER g AS first FROM r WINDOW g AS (PARTITION BY doc_id, page_number)),
+t AS (SELECT *, o > 0 AND first - o < 24 AS packed FROM s) SELECT doc_id, page_number, block_id AS note_id, round(CASE WHEN packed THEN p + 24 ELSE y - o END, 6) AS y0, round(CASE WHEN packed THEN p + 24 ELSE y - o END + h, 6) AS y1 FROM t WHERE NOT packed OR p + 24 + h <= 768""")
+def note_placement(spark, d):
+    n = margin.place(margin_notes(spark, d), ["doc_id", "page_number"], 220.0, 792.0, 5)
+    return n.select("doc_id", "page_number", "note_id", F.round("y0", 6).alias("y0"), F.round("y1", 6).alias("y1"))
+
+
+LAYOUT = [("lower-priority-zero", "Lower", "Body", 0, 320.0), ("upper-priority-one", "Upper", "Body", 1, 120.0)]
+
+
+@query("SELECT * FROM (VALUES (1, 'upper-priority-one'), (2, 'lower-priority-zero')) AS v(place, note_id)")
+def note_order(spark, d):
+    x = constant(spark, LAYOUT, "note_id string, title string, body string, priority int, anchor_y double").withColumn("has_latex", F.lit(False)).withColumn("symbols", F.lit(0)).withColumn("k", F.lit(1))
+    return margin.place(x, ["k"], 220.0, 700.0, 2).select(F.row_number().over(Window.partitionBy("k").orderBy("y0")).alias("place"), "note_id")
+
+
+@query(f"WITH {O.BLOCKS} SELECT doc_id, page_number, CAST(CASE WHEN count(*) FILTER (WHERE length(text) > 400) > 0 THEN 852 ELSE 612 END AS DOUBLE) AS width FROM b GROUP BY ALL")
+def page_widths(spark, d):
+    b = doc_blocks(spark, d)
+    pages = b.select("doc_id", "page_number", "page_width").distinct()
+    return margin.page_widths(pages, b.where(F.length("text") > 400), 240.0)
+
+
+@query("SELECT doc_id, CASE WHEN quality = 1 THEN CASE WHEN toxic = 1 THEN 0.99 ELSE 0.75 END ELSE 1.0 END AS red FROM labels")
+def label_colours(spark, d):
+    t = table(spark, d, "labels")
+    name = F.when((F.col("quality") == 1) & (F.col("toxic") == 1), "contribution").when(F.col("quality") == 1, "method").otherwise("unknown")
+    return t.select("doc_id", margin.colour(name, margin.LABEL_COLOURS, "definition")[0].alias("red"))
+
+
+@query(f"WITH {O.BLOCKS} SELECT doc_id, block_pos, y0 + (y1 - y0) / 2 AS anchor, greatest(y0 - 50, least(y0 + (y1 - y0) / 2, y0 - 10)) AS line_y, least(1, 100 / greatest(x1 - x0, 1)) * (x1 - x0) AS fitted FROM b")
+def note_geometry(spark, d):
+    b = doc_blocks(spark, d).withColumn("q", F.array(T.quad(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))))
+    a = margin.anchor_y(F.col("q"))
+    return b.select(*BK, a.alias("anchor"), margin.connector(F.col("x1"), a, F.lit(700.0), F.col("y0") - 50, F.col("y0") - 10)["y1"].alias("line_y"), margin.fitted(F.col("x1") - F.col("x0"), F.lit(10.0), F.lit(100.0))["width"].alias("fitted"))
+
+
+# --- plans --------------------------------------------------------------------------------------------
+def small_plan(spark, d):
+    b = doc_blocks(spark, d)
+    return highlight.build(b, layout.words(b))
+
+
+@query()
+def annotation_plan(spark, d):
+    """The nested plan of every document through all steps, with the deterministic scorer."""
+    return small_plan(spark, d)
+
+
+@query()
+def plan_manifest(spark, d):
+    return highlight.manifest(small_plan(spark, d))
+
+
+# --- progress -----------------------------------------------------------------------------------------
+def events_as_trace(spark, d):
+    """Conversations as job traces: a user's turn asks, an assistant's answers, a system's is a skip."""
+    t = table(spark, d, "conversations")
+    kind = F.when(F.col("role") == "user", "request").when(F.col("role") == "assistant", "response").otherwise("selection_skip")
+    names = F.array(*map(F.lit, progress.PROMPTS))
+    prompt = F.when(F.col("role") != "system", F.get(names, F.pmod("turn", F.lit(9)).cast("int")))
+    return t.select(F.col("conv_id").cast("string").alias("job_id"), F.col("turn").alias("seq"), kind.alias("type"), prompt.alias("prompt_name"))
+
+
+_P = list(progress.PROMPTS)
+_STAGE = "CASE current_prompt " + " ".join(f"WHEN '{k}' THEN {v[2]}" for k, v in progress.PROMPTS.items()) + " ELSE 1 END"
+_NAMES = "[" + ", ".join(f"'{p}'" for p in _P) + "]"
+
+
+@query(f"""WITH e AS (SELECT CAST(conv_id AS VARCHAR) AS job_id, turn AS seq, CASE role WHEN 'user' THEN 'request' WHEN 'assistant' THEN 'response' ELSE 'selection_skip' END AS type, CASE WHEN role <> 'system' THEN {_NAMES}[turn % 9 + 1] END AS prompt FROM conversations),
+g AS (SELECT job_id, count(*) FILTER (WHERE type = 'request') AS started_steps, count(*) FILTER (WHERE type = 'response') AS completed_steps, arg_max(type, seq) AS latest, arg_max(prompt, seq) FILTER (WHERE prompt IS NOT NULL) AS current_prompt FROM e GROUP BY job_id)
+SELECT job_id, started_steps, completed_steps, current_prompt, {_STAGE} AS stage_index, CAST(round_even(100 * CASE WHEN latest = 'response' THEN {_STAGE} / 7.0 ELSE greatest({_STAGE} - 0.45, 0.35) / 7.0 END, 0) AS INT) AS progress_percent FROM g WHERE started_steps + completed_steps > 0""")
+def job_progress(spark, d):
+    return progress.fold(events_as_trace(spark, d)).select("job_id", "started_steps", "completed_steps", "current_prompt", "stage_index", "progress_percent")
+
+
+@query("SELECT 2 AS started_steps, 1 AS completed_steps, 'equation_selection' AS current_prompt, 'Choosing equations' AS stage_title, 5 AS stage_index, 7 AS total_stages, 65 AS progress_percent, 'Choosing equations: deciding which equations should receive annotations. Step 2 is in progress and 1 model steps are complete.' AS message")
+def progress_case(spark, d):
+    e = constant(spark, [("j", 0, "request", "key_idea_extraction"), ("j", 1, "response", "key_idea_extraction"), ("j", 2, "request", "equation_selection")], "job_id string, seq long, type string, prompt_name string")
+    return progress.fold(e).drop("job_id", "stage_detail")
+
+
+@query("WITH j AS (SELECT user_id, arg_max(event_type, event_id) AS s FROM events GROUP BY user_id) SELECT CAST(user_id AS VARCHAR) AS job_id, CASE s WHEN 'purchase' THEN 'Succeeded' WHEN 'error' THEN 'Failed' ELSE 'Running' END AS status_label, CASE WHEN s = 'purchase' THEN '/api/jobs/' || user_id || '/annotated.pdf' END AS pdf_url, CASE WHEN s = 'purchase' THEN '/viewer?file=%2Fapi%2Fjobs%2F' || user_id || '%2Fannotated.pdf' END AS viewer_url FROM j")
+def job_views(spark, d):
+    """Events as versions of job records: the latest one counts."""
+    e = table(spark, d, "events").select(F.col("user_id").cast("string").alias("job_id"), "event_type", F.col("event_id").alias("updated_at"))
+    j = stores.latest(e).withColumn("status", F.when(F.col("event_type") == "purchase", "succeeded").when(F.col("event_type") == "error", "failed").otherwise("running")).withColumn("filename", F.lit("a.pdf"))
+    return progress.job_view(j).select("job_id", "status_label", "pdf_url", "viewer_url")
+
+
+@query("SELECT event_id AS job_id, ts AS created_at FROM events ORDER BY ts DESC, event_id LIMIT 8")
+def recent_jobs(spark, d):
+    """The report of the eight newest jobs; the limit is the feature."""
+    return stores.recent(table(spark, d, "events").select(F.col("event_id").alias("job_id"), F.col("ts").alias("created_at")))
