@@ -349,7 +349,7 @@ def case_words(text: str) -> list[tuple]:
 WORD = "array<struct<word_pos:int,text:string,normalized:string,block_id:string,x0:double,y0:double,x1:double,y1:double>>"
 ALIGNED = [
     ("unique", "This system aligns a contiguous quote back to the PDF words", "aligns a contiguous quote back to the PDF words", "This system aligns a contiguous quote back to the PDF words", 1),
-    ("ambiguous", "result claim result claim", "result claim", None, None),
+    ("ambiguous", "result claim result claim", "result claim", None, 0),
     ("two lines", "Only the output of the system is observed, the state and all the noise / variables are hidden.", "Only the output of the system is observed", "Only the output of the system is observed, the state and all the noise variables are hidden.", 2),
     ("block stop", "These posterior probabilities form the basis of the E step of the || Finally we continue.", "These posterior probabilities form the basis of the E step of the", "These posterior probabilities form the basis of the E step of the", 1),
     ("heading stop", "Then, we select the classifier with || 6.2 Can users", "we select the classifier with", "Then, we select the classifier with", 1),
@@ -360,7 +360,7 @@ ALIGNED = [
 def align_cases(spark, d):
     x = constant(spark, [(n, case_words(w), q) for n, w, q, _, _ in ALIGNED], f"name string, words {WORD}, quote string")
     a = align.align_quotes(x)
-    return a.select("name", F.col("aligned.matched_text").alias("matched"), F.when(F.col("aligned.boxes").isNotNull(), F.size("aligned.boxes")).alias("lines"))
+    return a.select("name", F.col("aligned.matched_text").alias("matched"), F.coalesce(F.size("aligned.boxes"), F.lit(0)).alias("lines"))
 
 
 @query()
