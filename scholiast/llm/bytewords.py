@@ -21,7 +21,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, kept between calls."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        size = 1 << max(16, int(n - 1).bit_length())
+        size = max(1 << 16, n + n // 16)
         out = np.full(size, U64(base), U64)
         out[0] = 1
         _powers[base] = have = np.multiply.accumulate(out)
@@ -52,7 +52,7 @@ def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[off[0] : off[-1]], off - off[0]
 
 
-def slices(off: np.ndarray, limit: int = 4 << 20):
+def slices(off: np.ndarray, limit: int = 1 << 20):
     """Ranges of texts that hold about `limit` bytes each; a longer text stands alone."""
     a, n = 0, len(off) - 1
     while a < n:

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .bytewords import BASE, mix, range_hashes, runs, spread, sums_of
+from .bytewords import BASE, mix, range_hashes, spread, sums_of
 
 U64 = np.uint64
 TRIGGER = 8
@@ -21,31 +21,27 @@ TRIGGER = 8
 SYMBOLS = 7
 
 
-def ranks(keys: np.ndarray) -> tuple[np.ndarray, int]:
-    u, at = np.unique(keys, return_inverse=True)
-    return at.astype(np.int64), len(u)
+def ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rank of each key among the distinct ones, whether it shares it)."""
+    _, at, many = np.unique(keys, return_inverse=True, return_counts=True)
+    return at.astype(np.int64), many[at] > 1
 
 
-def doubling(rank: np.ndarray, rest: np.ndarray, have: int) -> np.ndarray:
-    """Order-preserving ranks of whole sequences, from ranks of their first `have` items; rest: items from each place to its sequence's end."""
-    n = len(rank)
-    while n:
-        order = np.argsort(rank, kind="stable")
-        first, length = runs(rank[order])
-        tied = np.zeros(n, bool)
-        tied[order] = np.repeat(length > 1, length)
-        if not (tied & (rest > have)).any():
-            break
+def doubling(keys: np.ndarray, rest: np.ndarray, have: int) -> np.ndarray:
+    """Order-preserving ranks of whole sequences, from keys of their first `have` items; rest: items from each place to its sequence's end."""
+    n = len(keys)
+    rank, tied = ranks(keys)
+    while (tied & (rest > have)).any():
         on = np.flatnonzero(rest > have)
         later = np.zeros(n, np.int64)
         later[on] = rank[on + have] + 1
-        rank, _ = ranks(rank * np.int64(n + 1) + later)
+        rank, tied = ranks(rank * np.int64(n + 1) + later)
         have *= 2
     return rank
 
 
-def corpus_order(data: np.ndarray, off: np.ndarray, every: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """(order, group): all places of the texts data[off[i]:off[i+1]] in suffix order, and the text of each place. Texts must not be empty."""
+def corpus_order(data: np.ndarray, off: np.ndarray, every: int = 16, room: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(order, group): places of the texts data[off[i]:off[i+1]] in suffix order, those with `room` bytes left, and the text of each place. Texts must not be empty."""
     n = len(data)
     size = np.diff(off)
     text = np.repeat(np.arange(len(size)), size)
@@ -73,18 +69,17 @@ def corpus_order(data: np.ndarray, off: np.ndarray, every: int = 16) -> tuple[np
         first <<= 9
         on = np.flatnonzero(rest > k)
         first[on] |= words[on + k]
-    suffix, _ = ranks(first)
-    suffix = doubling(suffix, rest, SYMBOLS)
+    suffix = doubling(first, rest, SYMBOLS)
 
     # Parse: ranks of the phrases, then of the phrase sequences from each place to the end of its text.
-    parse, _ = ranks(suffix[base[:-1]][which])
     ends = np.searchsorted(start, off[1:])
-    parse = doubling(parse, ends[phrase_text] - np.arange(len(start)), 1)
+    parse = doubling(suffix[base[:-1]][which], ends[phrase_text] - np.arange(len(start)), 1)
 
-    phrase = np.cumsum(cut) - 1
-    inner = suffix[base[:-1][which[phrase]] + np.arange(n) - start[phrase]]
-    follow = np.where(last[phrase], 0, np.append(parse, 0)[np.minimum(phrase + 1, len(start) - 1)] + 1)
-    return np.argsort(inner * np.int64(len(start) + 2) + follow, kind="stable"), text
+    places = np.flatnonzero(np.arange(n) + room <= end)
+    phrase = (np.cumsum(cut) - 1)[places]
+    inner = suffix[base[:-1][which[phrase]] + places - start[phrase]]
+    follow = np.where(last[phrase], 0, parse[np.minimum(phrase + 1, len(start) - 1)] + 1)
+    return places[np.argsort(inner * np.int64(len(start) + 2) + follow, kind="stable")], text
 
 
 def repeated_windows(data: np.ndarray, off: np.ndarray, window: int) -> np.ndarray:
@@ -93,8 +88,7 @@ def repeated_windows(data: np.ndarray, off: np.ndarray, window: int) -> np.ndarr
     out = np.zeros(n, bool)
     if not n:
         return out
-    order, text = corpus_order(data, off)
-    order = order[order + window <= off[1:][text[order]]]
+    order, _ = corpus_order(data, off, room=window)
     h = range_hashes(sums_of(data.astype(U64) + U64(1), BASE + 2), order, order + window, BASE + 2)
     same = h[1:] == h[:-1]  # neighbours in suffix order share a window exactly if it is repeated
     out[order[1:][same]] = True

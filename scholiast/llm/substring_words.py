@@ -55,7 +55,7 @@ def chunks(batches, ids: bool = True):
     for b in batches:
         data, off = buffer_of(b.column(1))
         key = b.column(0).fill_null(NO_ID).to_numpy() if ids else None
-        for x, y in slices(off):
+        for x, y in slices(off, 4 << 20):
             yield key[x:y] if ids else None, Words(data[off[x] : off[y]], off[x : y + 1] - off[x])
 
 

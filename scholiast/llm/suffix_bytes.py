@@ -25,7 +25,11 @@ from .substring_words import NO_ID, SECOND_BASE, counts_batch, whole_groups
 U64 = np.uint64
 GRAM = 48
 #: Bytes of snippets that one suffix order takes together; an owner's snippets always stay together.
-ORDER_BYTES = 4 << 20
+ORDER_BYTES = 1 << 19
+#: Bytes of text that are hashed together: some two dozen arrays of eight bytes for each.
+CHUNK_BYTES = 1 << 18
+#: Rows that are cut together.
+ROWS = 1000
 
 
 def snippets(data: np.ndarray, off: np.ndarray, window: int, gram: int):
@@ -52,7 +56,7 @@ def _chunks(batches):
     for b in batches:
         data, off = buffer_of(b.column(1))
         key = b.column(0).fill_null(NO_ID).to_numpy()
-        for x, y in slices(off):
+        for x, y in slices(off, CHUNK_BYTES):
             yield key[x:y], data[off[x] : off[y]], off[x : y + 1] - off[x]
 
 
@@ -157,8 +161,14 @@ def _encoded(text: pa.Scalar) -> bytes:
     return (text.as_py() or "").encode("utf-8", "surrogatepass")
 
 
-def _cut_rows(batches, window):
+def few_rows(batches):
     for b in batches:
+        for k in range(0, b.num_rows, ROWS):
+            yield b.slice(k, ROWS)
+
+
+def _cut_rows(batches, window):
+    for b in few_rows(batches):
         raw = [_encoded(t) for t in b.column(1)]
         done = [cut(r, s.as_py(), window) for r, s in zip(raw, b.column(2))]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(r) for r in raw], pa.int64()), pa.array([x[1] for x in done], pa.int64()), pa.array([x[2] for x in done], pa.int64()), pa.array([x[0] for x in done], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
@@ -204,7 +214,7 @@ def clean_documents(docs: DataFrame, *, window: int = 200, gram: int = GRAM, max
     at, n_at = d.columns.index("text"), d.columns.index("n_chars")
 
     def run(batches):
-        for b in batches:
+        for b in few_rows(batches):
             texts_, sizes = [], []
             for t, n, s in zip(b.column(at), b.column(n_at), b.column(b.num_columns - 1)):
                 if s.as_py():
