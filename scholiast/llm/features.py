@@ -98,10 +98,12 @@ def sample_features(docs: DataFrame, chosen: DataFrame, bits: int, prefixes: tup
     kind = d.schema["doc_id"].dataType.simpleString()
     got = d.join(F.broadcast(chosen.select("doc_id", "y")), "doc_id").select("doc_id", "text", "y").mapInArrow(run, f"doc_id {kind}, y int, idx array<int>, st array<double>")
     t = got.orderBy(F.xxhash64("doc_id"), "doc_id", "y").toArrow()
-    idx, st = t["idx"].combine_chunks(), t["st"].combine_chunks()
-    lens = np.array([len(x) for x in idx.to_pylist()], np.int64) if len(t) else np.zeros(0, np.int64)
-    flat = lambda c, k: np.concatenate([x.flatten().to_numpy(zero_copy_only=False) for x in (c.chunks if isinstance(c, pa.ChunkedArray) else [c])]) if len(t) else np.zeros(0, k)
-    return np.concatenate([[0], np.cumsum(lens)]), flat(idx, np.int32), flat(st, float).reshape(-1, len(STATS)), t["y"].to_numpy().astype(int) if len(t) else np.zeros(0, int)
+    if not len(t):
+        return np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros((0, len(STATS))), np.zeros(0, int)
+    parts = lambda name: t[name].chunks
+    lens = np.concatenate([x.value_lengths().to_numpy() for x in parts("idx")]).astype(np.int64)
+    flat = lambda name: np.concatenate([x.flatten().to_numpy() for x in parts(name)])
+    return np.concatenate([[0], np.cumsum(lens)]), flat("idx"), flat("st").reshape(-1, len(STATS)), t["y"].to_numpy().astype(int)
 
 
 def with_scores(docs: DataFrame, score, threshold: float, bits: int, prefixes: tuple[int, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
