@@ -47,7 +47,7 @@ def corpus_order(data: np.ndarray, off: np.ndarray, every: int = 16, room: int =
     text = np.repeat(np.arange(len(size)), size)
     end = off[1:][text]
     eight = np.zeros(n, U64)
-    for k in range(TRIGGER):
+    for k in range(min(TRIGGER, n)):
         eight[: n - k] = (eight[: n - k] << U64(8)) | data[k:]
     cut = (mix(eight) % U64(every) == 0) & (np.arange(n) + TRIGGER <= end)
     cut[off[:-1]] = True
