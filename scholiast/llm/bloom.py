@@ -24,13 +24,18 @@ SEGMENTS = 1 << SEGMENT_BITS
 class Filter:
     """Membership of 64-bit hashes. Picklable; fixed once built."""
 
-    def __init__(self, segments: dict[int, bytes], probes: int):
+    def __init__(self, names: np.ndarray, bits: pa.Array, probes: int):
+        """names: the segment of each element of the binary array bits."""
         self.probes = probes
-        size = np.array([len(segments.get(s, b"")) for s in range(SEGMENTS)], np.int64)
+        order = np.argsort(names)
+        size = np.zeros(SEGMENTS, np.int64)
+        size[names] = [len(bits[i].as_buffer()) for i in range(len(names))]
         self.start = np.concatenate([[0], np.cumsum(size)[:-1]]).astype(np.int64) * 8
-        self.mask = np.maximum(size * 8 - 1, 0).astype(U64)
-        self.empty = size == 0
-        self.data = np.frombuffer(b"".join(segments[s] for s in sorted(segments)) or b"\0", np.uint8)
+        self.size = (size * 8).astype(U64)
+        self.data = np.zeros(max(1, int(size.sum())), np.uint8)
+        for i in order:
+            at = self.start[names[i]] // 8
+            self.data[at : at + size[names[i]]] = np.frombuffer(bits[i].as_buffer(), np.uint8)
 
     @property
     def nbytes(self) -> int:
@@ -42,28 +47,29 @@ class Filter:
     def contains(self, h: np.ndarray, level: int = 0) -> np.ndarray:
         """For each uint64 hash, whether it may be a member at that level. Later probes look only at what earlier ones left."""
         seg = (h >> U64(64 - SEGMENT_BITS)).astype(np.int64)
-        left = np.flatnonzero(~self.empty[seg])
+        left = np.flatnonzero(self.size[seg] > 0)
         for k in range(self.probes):
             s = seg[left]
-            at = self.start[s] + positions(h[left], self.mask[s], level * self.probes + k).astype(np.int64)
+            at = self.start[s] + positions(h[left], self.size[s], level * self.probes + k).astype(np.int64)
             left = left[(self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
         out = np.zeros(len(h), bool)
         out[left] = True
         return out
 
-    def levels(self, h: np.ndarray) -> np.ndarray:
-        """For each hash, how many levels hold it from the first on: one membership question a level, until the first no."""
+    def levels(self, h: np.ndarray, most: int = 64) -> np.ndarray:
+        """For each hash, how many levels hold it from the first on: one membership question a level, until the first no or `most`."""
         out = np.zeros(len(h), np.int64)
         left, level = np.arange(len(h)), 0
-        while len(left):
+        while len(left) and level < most:
             left = left[self.contains(h[left], level)]
             level += 1
             out[left] = level
         return out
 
 
-def positions(h: np.ndarray, mask: np.ndarray, k: int) -> np.ndarray:
-    return mix(h + U64((k + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))) & mask
+def positions(h: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
+    """Bit k of each hash in a segment of `size` bits, less than 2**32."""
+    return (mix(h + U64((k + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))) >> U64(32)) * size >> U64(32)
 
 
 def build(hashes: DataFrame, *, least: int = 1, bits_per_entry: int = 8, probes: int = 3, max_bytes: int = 256 << 20, quantise=None) -> Filter:
@@ -73,7 +79,7 @@ def build(hashes: DataFrame, *, least: int = 1, bits_per_entry: int = 8, probes:
     With quantise, a function of counts, an entry is held at the levels 0 to quantise(n) - 1, else at level 0 alone.
     """
     spark = hashes.sparkSession
-    most = max(64, 1 << (max_bytes // SEGMENTS * 8).bit_length() - 1)
+    most = max(64, max_bytes // SEGMENTS * 8)
     seg = F.shiftrightunsigned("h", 64 - SEGMENT_BITS).cast("int")
     dealt = hashes.select(seg.alias("seg"), "h", "n").repartition(parts(spark), "seg")
     summed = dealt.groupBy("seg", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("seg", "h", "n")
@@ -91,16 +97,18 @@ def build(hashes: DataFrame, *, least: int = 1, bits_per_entry: int = 8, probes:
         for s, many in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([pack(*(np.concatenate(x) for x in zip(*many)), bits_per_entry, probes, most)], pa.binary())], ["seg", "bits"])
 
-    return Filter({r["seg"]: bytes(r["bits"]) for r in summed.mapInArrow(run, "seg int, bits binary").collect()}, probes)
+    got = summed.mapInArrow(run, "seg int, bits binary").toArrow().combine_chunks()
+    bits = got["bits"].combine_chunks() if isinstance(got["bits"], pa.ChunkedArray) else got["bits"]
+    return Filter(got["seg"].to_numpy().astype(np.int64), bits, probes)
 
 
 def pack(h: np.ndarray, q: np.ndarray, bits_per_entry: int, probes: int, most: int) -> bytes:
-    size = min(most, max(64, 1 << int(int(q.sum()) * bits_per_entry - 1).bit_length()))
+    size = min(most, max(64, int(q.sum()) * bits_per_entry)) // 8 * 8
     flat = np.zeros(size, np.uint8)
     for level in range(int(q.max())):
         own = h[q > level]
         for k in range(probes):
-            flat[positions(own, U64(size - 1), level * probes + k).astype(np.int64)] = 1
+            flat[positions(own, U64(size), level * probes + k).astype(np.int64)] = 1
     return np.packbits(flat, bitorder="little").tobytes()
 
 

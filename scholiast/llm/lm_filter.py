@@ -33,7 +33,7 @@ U64 = np.uint64
 BASE, KAPPA, MOST = 1.5, 2.0, 0.25
 END, START = U64(0x8F1BBCDCBFA53E0B), U64(0x5A827999CA62C1D6)
 #: Bigram hashes gathered before a map task sums them.
-GATHER = 6_000_000
+GATHER = 3_000_000
 
 
 def quantise(n: np.ndarray) -> np.ndarray:
