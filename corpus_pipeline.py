@@ -11,16 +11,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scholiast.llm import bpe, decontaminate, quality_fm, simhash, suffix_bytes
+from scholiast.llm import bpe, decontaminate, near_sets, quality_fm, suffix_bytes
 from scholiast.llm.common import stored, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _where(docs: DataFrame, flags: DataFrame, condition) -> DataFrame:
-    """Rows of docs whose id has a flag row that meets the condition; ids are compared null-safe, a row stays at most once."""
-    keep = flags.where(condition).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(keep["_id"]), "left_semi").select(*COLUMNS)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs and rk, a hash of the whole row: two rows share it only if they are equal in all columns."""
+    nulls = [F.isnull(c) for c in COLUMNS]
+    return docs.select(*COLUMNS, F.xxhash64(*COLUMNS, *nulls).alias("rk"))
+
+
+def _where(keyed: DataFrame, keep: DataFrame) -> DataFrame:
+    """Rows of keyed whose rk is in keep (rk, distinct)."""
+    return keyed.join(keep.select(F.col("rk").alias("_rk")).hint("shuffle_hash"), F.col("rk") == F.col("_rk"), "left_semi")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,11 +35,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of smallest id of each group of near-duplicates (five-word shingles; fingerprints within four bits)."""
-    groups = simhash.near_duplicates(docs, size=5)
-    kept = _where(docs, groups, F.col("doc_id").eqNullSafe(F.col("component_id")))
-    repeated = docs.groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    """Keeps one row of each group of near-duplicates (Jaccard similarity of five-word shingles 0.8 or more, links followed): that of
+    smallest id, null ids last, and of several rows with that id the one of least row hash. Rows of one id in two groups are judged each by its own text.
+    """
+    keyed = _keyed(docs)
+    groups = near_sets.near_duplicates(keyed.select("doc_id", "rk", "text"), size=5)
+    best = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "rk")).alias("best")
+    kept = groups.groupBy("component").agg(best).select("best.rk")
+    out = _where(keyed, kept)
+    repeated = out.groupBy("rk").count().where("count > 1").limit(1).count()
+    return (out.dropDuplicates(["rk"]) if repeated else out).select(*COLUMNS)
 
 
 def repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +55,8 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that benchmark items contaminate."""
     flags = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
-    return _where(docs, flags, "NOT contaminated")
+    keep = flags.where("NOT contaminated").select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(keep.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(keep["_id"]), "left_semi").select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
