@@ -53,10 +53,10 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that benchmark items contaminate."""
-    flags = decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
-    keep = flags.where("NOT contaminated").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(keep.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(keep["_id"]), "left_semi").select(*COLUMNS)
+    """Drops documents that benchmark items contaminate, each row by its own text."""
+    keyed = _keyed(docs)
+    flags = decontaminate.decontaminate(keyed, table(spark, sf_dir, "benchmark", "item_id", "text"), id_col="rk")
+    return _where(keyed, flags.where("NOT contaminated").select(F.col("doc_id").alias("rk")).distinct()).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

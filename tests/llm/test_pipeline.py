@@ -34,3 +34,12 @@ def test_one_of_each_group_stays(spark):
     rows = [(5, t, "en", "a", 1), (3, t, "en", "b", 1), (3, t, "en", "b", 1), (9, "quite another text that nobody copied", "en", "c", 1), (2, None, None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert sorted(r["doc_id"] for r in C.near_dedup(spark, docs, SF).collect()) == [2, 3, 9]
+
+
+def test_rows_of_one_id_are_judged_by_their_own_text(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("text IS NOT NULL").first()["text"]
+    texts = [f"text number {i} says " + " ".join(f"v{i}{k}" for k in range(30)) for i in range(4)]
+    rows = [(None, texts[0], "en", "a", 1), (None, texts[1], "en", "a", 1), (7, texts[2], None, "a", 1), (7, texts[3], "a", None, 1), (7, texts[3], "a", None, 1), (7, item, "en", "a", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r["text"] for r in C.near_dedup(spark, docs, SF).collect()) == sorted([*texts, item])
+    assert sorted(r["text"] for r in C.benchmark(spark, docs, SF).collect()) == sorted([*texts, texts[3]])
