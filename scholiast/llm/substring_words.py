@@ -28,6 +28,8 @@ from .common import parts, stored, texts
 U64 = np.uint64
 SECOND_BASE = 0xF1357AEA2E62A9C5
 NO_ID = np.iinfo(np.int64).min
+#: Bytes of one owner's rows that a task gathers; the rows of a larger owner are dealt again by window.
+GROUP_BYTES = 32 << 20
 
 
 class Words:
@@ -124,30 +126,57 @@ def _place_rows(batches, window, block, anchors):
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (d1.view(np.int64), d2.view(np.int64), ids[w.doc[first]], first - w.first[first], count)], ["d1", "d2", "doc", "pos", "count"])
 
 
-def whole_groups(batches, column: int = 0):
-    """Batches sorted by one column, cut only where its value changes."""
+def whole_groups(batches, column: int = 0, most: int = GROUP_BYTES):
+    """(table, whole): batches sorted by one column, cut only where its value changes.
+
+    A value whose rows exceed `most` bytes is not gathered: its rows come in tables that are not whole, and hold that value alone.
+    """
     held: list[pa.RecordBatch] = []
+    size, hot = 0, None
     for b in batches:
         if not b.num_rows:
             continue
         v = b.column(column).to_numpy()
+        if hot is not None:
+            n = int(np.searchsorted(v, hot, "right"))
+            if n:
+                yield pa.Table.from_batches([b.slice(0, n)]).combine_chunks(), False
+            if n == len(v):
+                continue
+            hot, b, v = None, b.slice(n), v[n:]
         cut = np.flatnonzero(v[1:] != v[:-1])
         last = int(cut[-1]) + 1 if len(cut) else 0
         if held and v[0] != held[-1].column(column)[held[-1].num_rows - 1].as_py():
-            yield pa.Table.from_batches(held).combine_chunks()
-            held = []
+            yield pa.Table.from_batches(held).combine_chunks(), True
+            held, size = [], 0
         if last:
-            yield pa.Table.from_batches([*held, b.slice(0, last)]).combine_chunks()
-            held = []
+            first = int(cut[0]) + 1
+            yield pa.Table.from_batches([*held, b.slice(0, first)]).combine_chunks(), True
+            if last > first:
+                yield pa.Table.from_batches([b.slice(first, last - first)]).combine_chunks(), True
+            held, size = [], 0
         held.append(b.slice(last))
+        size += b.nbytes * (b.num_rows - last) // b.num_rows
+        if size > most:
+            hot = v[-1]
+            for x in held:
+                yield pa.Table.from_batches([x]).combine_chunks(), False
+            held, size = [], 0
     if held:
-        yield pa.Table.from_batches(held).combine_chunks()
+        yield pa.Table.from_batches(held).combine_chunks(), True
+
 
+JUDGED = ["d1", "d2", "mdoc", "mpos", "at", "len", "many", "wh"]
 
-def _judge(batches):
-    """Classes of whole owners: the earliest place of each, and which of its windows there occur earlier in another class."""
-    for t in whole_groups(batches):
+
+def _judge(batches, most=GROUP_BYTES):
+    """Classes of whole owners: the earliest place of each, and which of its windows there occur earlier in another class. Rows of owners too large pass."""
+    for t, whole in whole_groups(batches, most=most):
         k, d1, d2, doc, pos, many = (t.column(i).to_numpy() for i in range(6))
+        if not whole:  # to be dealt by window: no lists yet
+            none = pa.nulls(len(k), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (d1, d2, doc, pos)), none, none, pa.array(many), t.column(6).combine_chunks()], JUDGED)
+            continue
         lists = t.column(6).combine_chunks()
         flat, lo = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
         order = np.lexsort((pos, doc, d2, d1))
@@ -169,11 +198,32 @@ def _judge(batches):
         useful = (per > 0) | (total > 1)
         edges = pa.array(np.concatenate([[0], np.cumsum(per[useful])]).astype(np.int32))
         yield pa.RecordBatch.from_arrays(
-            [pa.array(d1[pick][useful]), pa.array(d2[pick][useful]), pa.array(doc[pick][useful]), pa.array(pos[pick][useful]), pa.ListArray.from_arrays(edges, pa.array(start)), pa.ListArray.from_arrays(edges, pa.array(n))],
-            ["d1", "d2", "mdoc", "mpos", "at", "len"],
+            [pa.array(d1[pick][useful]), pa.array(d2[pick][useful]), pa.array(doc[pick][useful]), pa.array(pos[pick][useful]), pa.ListArray.from_arrays(edges, pa.array(start)), pa.ListArray.from_arrays(edges, pa.array(n)), pa.array(total[useful]), pa.nulls(int(useful.sum()), pa.list_(pa.int64()))],
+            JUDGED,
         )
 
 
+def joined_runs(at: str):
+    """[(s, n)] of consecutive numbers in a sorted array column."""
+    zero = F.array().cast("array<struct<s:bigint,n:bigint>>")
+    last = lambda acc: F.element_at(acc, -1)
+    grow = lambda acc, x: F.when((F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["s"] + F.get(acc, F.size(acc) - 1)["n"] == x), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["s"].alias("s"), (last(acc)["n"] + 1).alias("n"))))).otherwise(F.concat(acc, F.array(F.struct(x.alias("s"), F.lit(1).cast("long").alias("n")))))
+    return F.aggregate(at, zero, grow)
+
+
+def _judge_hot(rows: DataFrame) -> DataFrame:
+    """What _judge says of whole owners, for those too large for a task: windows are dealt by their own hash and only minima meet."""
+    least = F.min(F.struct("mdoc", "mpos")).alias("p")
+    classes = rows.groupBy("d1", "d2").agg(least, F.sum("many").alias("many"), F.first("wh").alias("wh")).select("d1", "d2", F.col("p.mdoc").alias("mdoc"), F.col("p.mpos").alias("mpos"), "many", "wh")
+    classes = stored(classes, "substring-hot")
+    w = classes.select("d1", "d2", "mdoc", "mpos", F.posexplode("wh").alias("i", "w")).withColumn("p", F.struct("mdoc", (F.col("mpos") + F.col("i")).alias("pos")))
+    first = w.groupBy("w").agg(F.min("p").alias("least"))
+    late = w.join(first, "w").where(F.col("p") != F.col("least")).groupBy("d1", "d2").agg(F.array_sort(F.collect_set(F.col("i").cast("long"))).alias("i"))
+    runs_ = classes.drop("wh").join(late, ["d1", "d2"], "left").withColumn("r", joined_runs("i"))
+    empty = F.array().cast("array<bigint>")
+    return runs_.where("many > 1 OR i IS NOT NULL").select("d1", "d2", "mdoc", "mpos", F.coalesce(F.col("r.s"), empty).alias("at"), F.coalesce(F.col("r.n"), empty).alias("len"))
+
+
 def _cut_rows(batches, window):
     """Removes the words that the windows named by (start, number) lists cover."""
     for b in batches:
@@ -194,7 +244,7 @@ def _cut_rows(batches, window):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "n_words", "n_removed", "kept"])
 
 
-def dedup_words(docs: DataFrame, *, window: int = 20, digest: bool = False, id_col: str = "doc_id", text_col: str = "text", max_filter_bytes: int = 256 << 20) -> DataFrame:
+def dedup_words(docs: DataFrame, *, window: int = 20, digest: bool = False, id_col: str = "doc_id", text_col: str = "text", max_filter_bytes: int = 256 << 20, most: int = GROUP_BYTES) -> DataFrame:
     """(doc_id, n_words, n_removed, kept): each text without the words that a window repeated from an earlier place covers.
 
     Earlier means a smaller doc_id, or an earlier start in the same document. A null id is smaller than all others; rows with one id are
@@ -207,8 +257,11 @@ def dedup_words(docs: DataFrame, *, window: int = 20, digest: bool = False, id_c
     probed = d.mapInArrow(lambda it: _probe_rows(it, block, index.value), "h long, n long")
     anchors = bloom.share(spark, bloom.build(probed, least=2, max_bytes=max_filter_bytes))
     classes = d.mapInArrow(lambda it: _class_rows(it, window, block, anchors.value), "k long, d1 long, d2 long, doc long, pos long, many long, wh array<long>")
-    judged = classes.repartition(parts(spark), "k").sortWithinPartitions("k").mapInArrow(_judge, "d1 long, d2 long, mdoc long, mpos long, at array<long>, len array<long>")
+    judged = classes.repartition(parts(spark), "k").sortWithinPartitions("k").mapInArrow(lambda it: _judge(it, most), "d1 long, d2 long, mdoc long, mpos long, at array<long>, len array<long>, many long, wh array<long>")
     judged = stored(judged, "substring-classes")
+    hot, judged = judged.where("at IS NULL"), judged.where("at IS NOT NULL").drop("many", "wh")
+    if hot.limit(1).count():
+        judged = judged.unionByName(_judge_hot(hot))
     places = d.mapInArrow(lambda it: _place_rows(it, window, block, anchors.value), "d1 long, d2 long, doc long, pos long, count long")
     met = places.join(judged, ["d1", "d2"])
     first = (F.col("doc") == F.col("mdoc")) & (F.col("pos") == F.col("mpos"))

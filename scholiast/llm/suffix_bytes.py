@@ -20,7 +20,7 @@ from . import bloom
 from .bytewords import BASE, buffer_of, masked_runs, packed, position_of, range_hashes, runs, slices, sliding_min, spread, sums_of
 from .common import parts, stored, texts
 from .pfp import repeated_windows
-from .substring_words import NO_ID, SECOND_BASE, counts_batch, whole_groups
+from .substring_words import NO_ID, GROUP_BYTES, SECOND_BASE, counts_batch, joined_runs, whole_groups
 
 U64 = np.uint64
 GRAM = 48
@@ -100,10 +100,17 @@ def _place_rows(batches, window, gram, often):
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in (d1.view(np.int64), d2.view(np.int64), ids[text], first - off[text])], ["d1", "d2", "doc", "at"])
 
 
-def _order_rows(batches, window):
-    """For each distinct snippet with repeated windows, their runs: (d1, d2, [start], [number])."""
-    for t in whole_groups(batches):
+ORDERED = ["d1", "d2", "start", "number", "many", "body"]
+
+
+def _order_rows(batches, window, most=GROUP_BYTES):
+    """For each distinct snippet with repeated windows, their runs: (d1, d2, [start], [number]). Snippets of owners too large for a task pass."""
+    for t, whole_ in whole_groups(batches, most=most):
         k, d1, d2, many = (t.column(i).to_numpy() for i in range(4))
+        if not whole_:  # to be dealt by window: no lists yet
+            none = pa.nulls(len(k), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(d2), none, none, pa.array(many), t.column(4).combine_chunks()], ORDERED)
+            continue
         order = np.lexsort((d2, d1, k))
         k, d1, d2 = k[order], d1[order], d2[order]
         new = np.flatnonzero(np.concatenate([[True], (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1]) | (k[1:] != k[:-1])]))
@@ -140,7 +147,30 @@ def _order_rows(batches, window):
         per = np.bincount(g, minlength=len(k))
         useful = np.flatnonzero(per)
         edges = pa.array(np.concatenate([[0], np.cumsum(per[useful])]).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([pa.array(d1[useful]), pa.array(d2[useful]), pa.ListArray.from_arrays(edges, pa.array(at)), pa.ListArray.from_arrays(edges, pa.array(n))], ["d1", "d2", "start", "number"])
+        yield pa.RecordBatch.from_arrays([pa.array(d1[useful]), pa.array(d2[useful]), pa.ListArray.from_arrays(edges, pa.array(at)), pa.ListArray.from_arrays(edges, pa.array(n)), pa.array(total[useful]), pa.nulls(len(useful), pa.binary())], ORDERED)
+
+
+def _window_rows(batches, window):
+    """(d1, d2, i, w1, w2, many): the windows of snippets (d1, d2, many, body), by two hashes of each."""
+    for b in batches:
+        body, edge = buffer_of(b.column(3))
+        for x, y in slices(edge, CHUNK_BYTES):
+            data, off = body[edge[x] : edge[y]], edge[x : y + 1] - edge[x]
+            n = np.maximum(np.diff(off) - window + 1, 0)
+            row, i = np.repeat(np.arange(y - x), n), spread(n)
+            at = off[row] + i
+            w1, w2 = _digests(sums_of(data.astype(U64) + U64(1), BASE), data, at, at + window)
+            ends = [b.column(c).slice(x, y - x).take(pa.array(row)) for c in range(3)]
+            yield pa.RecordBatch.from_arrays([*ends[:2], pa.array(i), pa.array(w1.view(np.int64)), pa.array(w2.view(np.int64)), ends[2]], ["d1", "d2", "i", "w1", "w2", "many"])
+
+
+def _order_hot(rows: DataFrame, window: int) -> DataFrame:
+    """What _order_rows says of whole owners, for those too large for a task: windows are dealt by their own hashes and only counts meet."""
+    snippets_ = stored(rows.groupBy("d1", "d2").agg(F.sum("many").alias("many"), F.first("body").alias("body")), "suffix-hot")
+    w = snippets_.mapInArrow(lambda it: _window_rows(it, window), "d1 long, d2 long, i long, w1 long, w2 long, many long")
+    again = w.groupBy("w1", "w2").agg(F.sum("many").alias("times")).where("times > 1").select("w1", "w2")
+    found = w.join(again, ["w1", "w2"]).groupBy("d1", "d2").agg(F.array_sort(F.collect_set("i")).alias("i")).withColumn("r", joined_runs("i"))
+    return found.select("d1", "d2", F.col("r.s").alias("start"), F.col("r.n").alias("number"))
 
 
 def cut(raw: bytes, spans: list[dict] | None, window: int) -> tuple[bytes, int, int]:
@@ -174,13 +204,16 @@ def _cut_rows(batches, window):
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(r) for r in raw], pa.int64()), pa.array([x[1] for x in done], pa.int64()), pa.array([x[2] for x in done], pa.int64()), pa.array([x[0] for x in done], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def repeated_spans(d: DataFrame, window: int, gram: int, max_filter_bytes: int) -> DataFrame:
+def repeated_spans(d: DataFrame, window: int, gram: int, max_filter_bytes: int, most: int = GROUP_BYTES) -> DataFrame:
     """(doc, spans): the runs of repeated windows of every document that has any, of d (doc_id long, text)."""
     spark = d.sparkSession
     often = bloom.share(spark, bloom.build(d.mapInArrow(lambda it: _owner_rows(it, window, gram), "h long, n long"), least=2, max_bytes=max_filter_bytes))
     rows = d.mapInArrow(lambda it: _snippet_rows(it, window, gram, often.value), "k long, d1 long, d2 long, many long, body binary")
-    ordered = rows.repartition(parts(spark), "k").sortWithinPartitions("k").mapInArrow(lambda it: _order_rows(it, window), "d1 long, d2 long, start array<long>, number array<long>")
+    ordered = rows.repartition(parts(spark), "k").sortWithinPartitions("k").mapInArrow(lambda it: _order_rows(it, window, most), "d1 long, d2 long, start array<long>, number array<long>, many long, body binary")
     ordered = stored(ordered, "suffix-snippets")
+    hot, ordered = ordered.where("start IS NULL").drop("start", "number"), ordered.where("start IS NOT NULL").drop("many", "body")
+    if hot.limit(1).count():
+        ordered = ordered.unionByName(_order_hot(hot, window))
     places = d.mapInArrow(lambda it: _place_rows(it, window, gram, often.value), "d1 long, d2 long, doc long, at long")
     own = F.transform(F.arrays_zip("start", "number"), lambda x: F.struct((F.col("at") + x["start"]).alias("s"), x["number"].alias("n")))
     found = places.join(ordered, ["d1", "d2"]).select("doc", own.alias("spans")).groupBy("doc").agg(F.flatten(F.collect_list("spans")).alias("spans"))
@@ -192,14 +225,14 @@ def _with_spans(d: DataFrame, found: DataFrame) -> DataFrame:
     return d.join(found.hint("shuffle_hash"), F.coalesce("doc_id", F.lit(NO_ID)) == F.col("doc"), "left").drop("doc")
 
 
-def dedup_bytes(docs: DataFrame, *, window: int = 200, gram: int = GRAM, digest: bool = False, id_col: str = "doc_id", text_col: str = "text", max_filter_bytes: int = 256 << 20) -> DataFrame:
+def dedup_bytes(docs: DataFrame, *, window: int = 200, gram: int = GRAM, digest: bool = False, id_col: str = "doc_id", text_col: str = "text", max_filter_bytes: int = 256 << 20, most: int = GROUP_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): each text's UTF-8 bytes without those that a repeated window covers.
 
     A window of a repeated row also starts elsewhere. Rows with one id are taken to hold one text: each of them loses what any loses. Null and
     empty texts have no bytes; null ids are kept. kept is binary, as a cut may fall inside a character; with digest=True, kept_sha256 in hex.
     """
     d = texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    joined = _with_spans(d, repeated_spans(d, window, gram, max_filter_bytes)).select("doc_id", "text", "spans")
+    joined = _with_spans(d, repeated_spans(d, window, gram, max_filter_bytes, most)).select("doc_id", "text", "spans")
     out = joined.mapInArrow(lambda it: _cut_rows(it, window), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept") if digest else out
 
