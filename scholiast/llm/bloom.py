@@ -72,14 +72,14 @@ def positions(h: np.ndarray, size: np.ndarray, k: int) -> np.ndarray:
     return (mix(h + U64((k + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1))) >> U64(32)) * size >> U64(32)
 
 
-def build(hashes: DataFrame, *, least: int = 1, bits_per_entry: int = 8, probes: int = 3, max_bytes: int = 256 << 20, quantise=None) -> Filter:
-    """Filter of every h whose counts n sum to `least` or more. hashes: (h long, n long), pre-summed by the caller as far as it can.
+def segments(hashes: DataFrame, *, least: int = 1, bits_per_entry: int = 8, probes: int = 3, max_bytes: int | None = None, quantise=None) -> DataFrame:
+    """(seg, bits): the segments of a filter of every h whose counts n sum to `least` or more; without max_bytes their sizes grow with what they hold.
 
-    Rows meet by segment, so one shuffle serves both the sums and the bits; segments are hash-uniform, whatever the data.
+    hashes: (h long, n long), pre-summed by the caller as far as it can. Rows meet by segment, so one shuffle serves both the sums and the bits; segments are hash-uniform, whatever the data.
     With quantise, a function of counts, an entry is held at the levels 0 to quantise(n) - 1, else at level 0 alone.
     """
     spark = hashes.sparkSession
-    most = max(64, max_bytes // SEGMENTS * 8)
+    most = (1 << 32) - 8 if max_bytes is None else max(64, max_bytes // SEGMENTS * 8)
     seg = F.shiftrightunsigned("h", 64 - SEGMENT_BITS).cast("int")
     dealt = hashes.select(seg.alias("seg"), "h", "n").repartition(parts(spark), "seg")
     summed = dealt.groupBy("seg", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("seg", "h", "n")
@@ -97,7 +97,17 @@ def build(hashes: DataFrame, *, least: int = 1, bits_per_entry: int = 8, probes:
         for s, many in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([pack(*(np.concatenate(x) for x in zip(*many)), bits_per_entry, probes, most)], pa.binary())], ["seg", "bits"])
 
-    got = summed.mapInArrow(run, "seg int, bits binary").toArrow().combine_chunks()
+    return summed.mapInArrow(run, "seg int, bits binary")
+
+
+def build(hashes: DataFrame, *, max_bytes: int = 256 << 20, probes: int = 3, **how) -> Filter:
+    """The filter of all segments (see segments), of max_bytes at most."""
+    return loaded(segments(hashes, max_bytes=max_bytes, probes=probes, **how), probes)
+
+
+def loaded(segs: DataFrame, probes: int) -> Filter:
+    """The filter of the segments (seg, bits) of a table; all other segments are empty in it."""
+    got = segs.toArrow().combine_chunks()
     bits = got["bits"].combine_chunks() if isinstance(got["bits"], pa.ChunkedArray) else got["bits"]
     return Filter(got["seg"].to_numpy().astype(np.int64), bits, probes)
 

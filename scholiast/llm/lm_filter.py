@@ -9,8 +9,9 @@ interpolates
 
 with low and high the ends of a count's bin and k(h) = MOST * c(h) / (c(h) + KAPPA). Taking numerators from the
 low ends and denominators from the high ends keeps the sum over words at one or less, false
-positives aside. The filter is built in segments by the reducers, has a fixed greatest size and is
-broadcast; when a corpus outgrows it, nothing is left out, only false positives grow.
+positives aside. The filter is built in segments by the reducers, each as large as its entries need, and
+kept in the shared folder. Passes over the texts broadcast as many segments as a bound allows and add
+what they hold of each token's counts, so false positives are as rare in a large corpus as in a small one.
 
 The base score needs exact counts. The most frequent words, a bounded number, are broadcast with
 theirs; what a document has of all other words is summed and joined to the full table of counts.
@@ -98,10 +99,11 @@ def _with_starts(t, before, to):
 
 
 class Model:
-    """All that a worker needs: the filter, the frequent words with exact counts, N and V. Its size has a fixed bound."""
+    """All that a worker needs: one pass's part of the filter, the frequent words with exact counts, N, V and the levels of START."""
 
-    def __init__(self, filter_: bloom.Filter, words: np.ndarray, counts: np.ndarray, n: int, v: int):
+    def __init__(self, filter_: bloom.Filter, words: np.ndarray, counts: np.ndarray, n: int, v: int, start: int):
         order = np.argsort(words)
+        self.start = start
         self.filter, self.words, self.counts, self.n, self.v = filter_, words[order], counts[order], n, v
         self.all = n + 0.5 * (v + 1)
 
@@ -112,21 +114,42 @@ class Model:
         at = np.minimum(np.searchsorted(self.words, t), len(self.words) - 1)
         return np.where(self.words[at] == t, self.counts[at], -1)
 
-    def log10(self, t: np.ndarray, before: np.ndarray, c: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """log10 P of each token. c: exact counts or -1; starts: where texts begin."""
-        q = np.zeros(len(t), np.int64)
+    def levels(self, t: np.ndarray, before: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """For each token, the levels that this part of the filter holds of it, zero where its count is exact, and of its bigram."""
+        q = np.zeros((len(t), 2), np.uint8)
         rare = np.flatnonzero(c < 0)
-        q[rare] = self.filter.levels(t[rare])
+        q[rare, 0] = self.filter.levels(t[rare])
+        q[:, 1] = self.filter.levels(bigram(before, t))
+        return q
+
+    def log10(self, q: np.ndarray, c: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """log10 P of each token. q: levels of all parts together; c: exact counts or -1; starts: where texts begin."""
+        q, pair = q[:, 0].astype(np.int64), q[:, 1].astype(np.int64)
         own = np.where(c < 0, low(q), c)
         top = np.where(c < 0, high(q), c)
-        h1 = np.empty(len(t))
+        h1 = np.empty(len(c))
         h1[1:] = top[:-1]
-        h1[starts] = high(self.filter.levels(np.array([START])))[0]
-        h2 = low(self.filter.levels(bigram(before, t)))
+        h1[starts] = high(np.array([self.start]))[0]
+        h2 = low(pair)
         k = MOST * h1 / (h1 + KAPPA)
         return np.log10(k * np.minimum(1.0, h2 / np.maximum(h1, 1)) + (1 - k) * (own + 0.5) / self.all)
 
 
+def _levels_so_far(b, a, e):
+    """Levels that earlier passes found for the tokens of rows a to e, or zero."""
+    return buffer_of(b.column(3).slice(a, e - a))[0].reshape(-1, 2) if b.num_columns > 3 else U64(0).astype(np.uint8)
+
+
+def _level_rows(batches, held):
+    """The rows (text, doc_id, held_out, levels) with what one more part of the filter holds."""
+    model = held.value
+    for b in batches:
+        for a, e, t, before, to in _chunks(b.column(0)):
+            q = model.levels(t, before, model.exact(t)) + _levels_so_far(b, a, e)
+            lists = pa.Array.from_buffers(pa.binary(), e - a, [None, pa.py_buffer((to * 2).astype(np.int32).tobytes()), pa.py_buffer(q.tobytes())])
+            yield pa.RecordBatch.from_arrays([*(b.column(i).slice(a, e - a) for i in range(3)), lists], ["text", "doc_id", "held_out", "levels"])
+
+
 def _score_rows(batches, held):
     model = held.value
     part, row = TaskContext.get().partitionId() << 40, 0
@@ -134,7 +157,7 @@ def _score_rows(batches, held):
     for b in batches:
         for a, e, t, before, to in _chunks(b.column(0)):
             c = model.exact(t)
-            p = model.log10(t, before, c, to[:-1])
+            p = model.log10(model.levels(t, before, c) + _levels_so_far(b, a, e), c, to[:-1])
             sure = c >= 0
             base = row_sums(to, np.where(sure, np.log10(np.maximum(c, 0) + 0.5), 0.0))
             doc = np.repeat(np.arange(e - a), np.diff(to))
@@ -150,8 +173,23 @@ def _score_rows(batches, held):
             row += e - a
 
 
-def train(docs: DataFrame, *, frequent: int = 1 << 19, max_filter_bytes: int = 512 << 20) -> tuple[Model, DataFrame]:
-    """(model, counts): the broadcastable model and the table (h, n) of all training words, from docs (text)."""
+def portions(segs: DataFrame, most: int) -> list[tuple[int, int]]:
+    """Ranges of segments (first, last) of `most` bytes together at most, or of one larger segment."""
+    out, size = [], 0
+    for s, n in sorted((r["seg"], r["n"]) for r in segs.select("seg", F.octet_length("bits").cast("long").alias("n")).collect()):
+        if out and size + n <= most:
+            out[-1], size = (out[-1][0], s), size + n
+        else:
+            out.append((s, s))
+            size = n
+    return out or [(0, 0)]
+
+
+def train(docs: DataFrame, *, frequent: int = 1 << 19, max_filter_bytes: int = 512 << 20) -> tuple[list, DataFrame]:
+    """(parts, counts): functions that load one broadcastable part of the model each, and the table (h, n) of all training words, from docs (text).
+
+    A part holds max_filter_bytes of the filter at most. Parts are to be loaded in turn; the last one knows what all hold of START.
+    """
     text = docs.select("text")
     words = stored(text.mapInArrow(lambda it: _summed(it, lambda t, before, to: t), "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "lm-words")
     total = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
@@ -164,10 +202,17 @@ def train(docs: DataFrame, *, frequent: int = 1 << 19, max_filter_bytes: int = 5
         least, have = b, have + c
     top = words.where(F.floor(F.log2("n") * 8) >= least).toPandas() if least is not None else None
     grams = text.mapInArrow(lambda it: _summed(it, lambda t, before, to: np.concatenate([_with_starts(t, before, to), bigram(before, t)])), "h long, n long")
-    found = bloom.build(grams, bits_per_entry=6, probes=4, max_bytes=max_filter_bytes, quantise=quantise)
+    segs = stored(bloom.segments(grams, bits_per_entry=6, probes=4, quantise=quantise), "lm-filter")
     h = top["h"].to_numpy().view(U64) if top is not None else np.zeros(0, U64)
     n = top["n"].to_numpy().astype(float) if top is not None else np.zeros(0)
-    return Model(found, h, n, int(total["n"] or 0), int(total["v"])), words
+    start = [0]
+
+    def load(first, last):
+        found = bloom.loaded(segs.where(F.col("seg").between(first, last)), 4)
+        start[0] += int(found.levels(np.array([START]))[0])
+        return Model(found, h, n, int(total["n"] or 0), int(total["v"]), start[0])
+
+    return [lambda x=x: load(*x) for x in portions(segs, max_filter_bytes)], words
 
 
 def score(docs: DataFrame, *, held_fold: int = 1, frequent: int = 1 << 19, max_filter_bytes: int = 512 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,9 +223,16 @@ def score(docs: DataFrame, *, held_fold: int = 1, frequent: int = 1 << 19, max_f
     """
     spark = docs.sparkSession
     d = texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("held_out", fold() == held_fold)
-    model, words = train(d.where("NOT held_out"), frequent=frequent, max_filter_bytes=max_filter_bytes)
+    loads, words = train(d.where("NOT held_out"), frequent=frequent, max_filter_bytes=max_filter_bytes)
+    *first, last = loads
+    read = d.select("text", "doc_id", "held_out")
+    for part in first:
+        held = bloom.share(spark, part())
+        read = stored(read.mapInArrow(lambda it, held=held: _level_rows(it, held), "text string, doc_id long, held_out boolean, levels binary"), "lm-levels")
+        held.destroy()
+    model = last()
     held = bloom.share(spark, model)
-    rows = d.select("text", "doc_id", "held_out").mapInArrow(lambda it: _score_rows(it, held), "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, times array<long>")
+    rows = read.mapInArrow(lambda it: _score_rows(it, held), "rid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, times array<long>")
     rows = stored(rows, "lm-rows")
     rare = rows.select("rid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("rid", F.col("x.rare").alias("h"), F.col("x.times").alias("times"))
     c = F.coalesce("n", F.lit(0))
