@@ -1,6 +1,7 @@
 """Segmented Bloom filters, built by a shuffle and broadcast under a fixed bound.
 
-The top bits of a 64-bit hash name one of SEGMENTS segments. Each reduce task owns whole segments,
+The low bits of a 64-bit hash name one of SEGMENTS segments; hashes that were chosen as the least of several
+crowd at low values, but not in their low bits. Each reduce task owns whole segments,
 sizes them by what they hold, and sends only their bits. The sum of all segments never exceeds
 max_bytes: past that the false-positive rate rises, which costs its users work or precision but
 never an entry, since a filter has no false negatives.
@@ -46,7 +47,7 @@ class Filter:
 
     def contains(self, h: np.ndarray, level: int = 0) -> np.ndarray:
         """For each uint64 hash, whether it may be a member at that level. Later probes look only at what earlier ones left."""
-        seg = (h >> U64(64 - SEGMENT_BITS)).astype(np.int64)
+        seg = (h & U64(SEGMENTS - 1)).astype(np.int64)
         left = np.flatnonzero(self.size[seg] > 0)
         for k in range(self.probes):
             s = seg[left]
@@ -80,7 +81,7 @@ def segments(hashes: DataFrame, *, least: int = 1, bits_per_entry: int = 8, prob
     """
     spark = hashes.sparkSession
     most = (1 << 32) - 8 if max_bytes is None else max(64, max_bytes // SEGMENTS * 8)
-    seg = F.shiftrightunsigned("h", 64 - SEGMENT_BITS).cast("int")
+    seg = F.col("h").bitwiseAND(F.lit(SEGMENTS - 1)).cast("int")
     dealt = hashes.select(seg.alias("seg"), "h", "n").repartition(parts(spark), "seg")
     summed = dealt.groupBy("seg", "h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("seg", "h", "n")
 
@@ -131,5 +132,27 @@ def counted(h: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.
     return u, np.bincount(at, n, minlength=len(u)).astype(np.int64)
 
 
+#: Hashes that a map task gathers before it sums them.
+GATHER = 2_000_000
+
+
+def summed(arrays, gather: int = GATHER):
+    """Batches (h, n) of the distinct hashes of arrays and their counts, so that a frequent hash leaves a task in few rows."""
+    held, size = [], 0
+    for h in arrays:
+        held.append(h)
+        size += len(h)
+        if size >= gather:
+            yield _counts(held)
+            held, size = [], 0
+    if held:
+        yield _counts(held)
+
+
+def _counts(held: list) -> pa.RecordBatch:
+    u, c = counted(np.concatenate(held))
+    return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c)], ["h", "n"])
+
+
 def share(spark: SparkSession, value):
     return spark.sparkContext.broadcast(value)

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
 #: Odd multipliers of the polynomial hashes; any odd constant works, these are fixed so that runs agree.
@@ -93,8 +94,12 @@ def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(starts, off)
 
 
+#: Longer spans are hashed by XXH3 one by one: a polynomial modulo 2**64 takes some long strings for each other (Thue-Morse, from 1,024 bytes on).
+LONG = 128
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int = BASE) -> np.ndarray:
-    """64-bit hash of each byte span: a polynomial in an odd base modulo 2**64, shifted to position 0 and scrambled."""
+    """64-bit hash of each byte span: a polynomial in an odd base modulo 2**64, shifted to position 0 and scrambled, or XXH3 where it is LONG."""
     if len(starts) == 0:
         return np.zeros(0, U64)
     p = powers(base, len(data) + 1)
@@ -102,7 +107,10 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: in
     sums[0] = 0
     np.cumsum((data.astype(U64) + U64(1)) * p[:-1], out=sums[1:])
     inverse = powers(pow(base, -1, 1 << 64), len(data) + 1)
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U64) * U64(0xA24BAED4963EE407))
+    out = mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U64) * U64(0xA24BAED4963EE407))
+    for i in np.flatnonzero(ends - starts > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), base)
+    return out
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:

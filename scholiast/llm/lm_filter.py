@@ -77,21 +77,7 @@ def _chunks(column):
 
 
 def _summed(batches, of):
-    held, size = [], 0
-    for b in batches:
-        for x in _chunks(b.column(0)):
-            held.append(of(*x[2:]))
-            size += len(held[-1])
-            if size >= GATHER:
-                yield _rows(np.concatenate(held))
-                held, size = [], 0
-    if held:
-        yield _rows(np.concatenate(held))
-
-
-def _rows(h):
-    u, c = bloom.counted(h)
-    return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c)], ["h", "n"])
+    return bloom.summed((of(*x[2:]) for b in batches for x in _chunks(b.column(0))), GATHER)
 
 
 def _with_starts(t, before, to):

@@ -82,15 +82,34 @@ def corpus_order(data: np.ndarray, off: np.ndarray, every: int = 16, room: int =
     return places[np.argsort(inner * np.int64(len(start) + 2) + follow, kind="stable")], text
 
 
+def shared_bytes(data: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Whether the `most` bytes from a[i] and from b[i] on are the same, compared eight at a time as far as they agree. Both must lie within data."""
+    eight = np.zeros(len(data), U64)
+    for k in range(min(TRIGGER, len(data))):
+        eight[: len(data) - k] |= data[k:].astype(U64) << U64(8 * k)
+    left = np.arange(len(a))
+    at = sorted({*range(0, most - TRIGGER + 1, TRIGGER), most - TRIGGER}) if most >= TRIGGER else []
+    for k in at:
+        left = left[eight[a[left] + k] == eight[b[left] + k]]
+    if most < TRIGGER:
+        for k in range(most):
+            left = left[data[a[left] + k] == data[b[left] + k]]
+    out = np.zeros(len(a), bool)
+    out[left] = True
+    return out
+
+
 def repeated_windows(data: np.ndarray, off: np.ndarray, window: int) -> np.ndarray:
-    """For each place of the texts, whether its `window` bytes lie within its text and also start at another place of them."""
+    """For each place of the texts, whether its `window` bytes lie within its text and also start at another place of them.
+
+    Places that share a window are neighbours in suffix order, so each place is compared with the next one there, byte by byte.
+    """
     n = len(data)
     out = np.zeros(n, bool)
     if not n:
         return out
     order, _ = corpus_order(data, off, room=window)
-    h = range_hashes(sums_of(data.astype(U64) + U64(1), BASE + 2), order, order + window, BASE + 2)
-    same = h[1:] == h[:-1]  # neighbours in suffix order share a window exactly if it is repeated
+    same = shared_bytes(data, order[1:], order[:-1], window)
     out[order[1:][same]] = True
     out[order[:-1][same]] = True
     return out

@@ -28,6 +28,8 @@ from .common import parts, stored, texts
 U64 = np.uint64
 SECOND_BASE = 0xF1357AEA2E62A9C5
 NO_ID = np.iinfo(np.int64).min
+#: Bytes of text that are hashed together: some two dozen arrays of eight bytes for each.
+CHUNK_BYTES = 1 << 19
 #: Bytes of one owner's rows that a task gathers; the rows of a larger owner are dealt again by window.
 GROUP_BYTES = 32 << 20
 
@@ -53,32 +55,27 @@ class Words:
 
 
 def chunks(batches, ids: bool = True):
-    """(ids, Words) of about 4 MB of text at a time; a null id becomes the least long."""
+    """(ids, Words) of about CHUNK_BYTES of text at a time; a null id becomes the least long."""
     for b in batches:
         data, off = buffer_of(b.column(1))
         key = b.column(0).fill_null(NO_ID).to_numpy() if ids else None
-        for x, y in slices(off, 4 << 20):
+        for x, y in slices(off, CHUNK_BYTES):
             yield key[x:y] if ids else None, Words(data[off[x] : off[y]], off[x : y + 1] - off[x])
 
 
-def _block_rows(batches, block):
+def _blocks(batches, block):
     for _, w in chunks(batches):
         g, ok = window_hashes(w.h, block), w.inside(block)
-        yield counts_batch(g[ok & (w.at()[: len(g)] % block == 0)])
+        yield g[ok & (w.at()[: len(g)] % block == 0)]
 
 
-def _probe_rows(batches, block, index):
+def _probes(batches, block, index):
     for _, w in chunks(batches):
         g, ok = window_hashes(w.h, block), w.inside(block)
         hit = ok & (w.at()[: len(g)] % block == 0)
         rest = np.flatnonzero(ok & ~hit)
         hit[rest[index.contains(g[rest])]] = True
-        yield counts_batch(g[hit])
-
-
-def counts_batch(h: np.ndarray) -> pa.RecordBatch:
-    u, c = bloom.counted(h)
-    return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c)], ["h", "n"])
+        yield g[hit]
 
 
 def owned(w: Words, window: int, block: int, anchors: bloom.Filter):
@@ -253,8 +250,8 @@ def dedup_words(docs: DataFrame, *, window: int = 20, digest: bool = False, id_c
     """
     spark, block = docs.sparkSession, window // 2
     d = texts(docs, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    index = bloom.share(spark, bloom.build(d.mapInArrow(lambda it: _block_rows(it, block), "h long, n long"), max_bytes=max_filter_bytes))
-    probed = d.mapInArrow(lambda it: _probe_rows(it, block, index.value), "h long, n long")
+    index = bloom.share(spark, bloom.build(d.mapInArrow(lambda it: bloom.summed(_blocks(it, block)), "h long, n long"), max_bytes=max_filter_bytes))
+    probed = d.mapInArrow(lambda it: bloom.summed(_probes(it, block, index.value)), "h long, n long")
     anchors = bloom.share(spark, bloom.build(probed, least=2, max_bytes=max_filter_bytes))
     classes = d.mapInArrow(lambda it: _class_rows(it, window, block, anchors.value), "k long, d1 long, d2 long, doc long, pos long, many long, wh array<long>")
     judged = classes.repartition(parts(spark), "k").sortWithinPartitions("k").mapInArrow(lambda it: _judge(it, most), "d1 long, d2 long, mdoc long, mpos long, at array<long>, len array<long>, many long, wh array<long>")

@@ -20,7 +20,7 @@ from . import bloom
 from .bytewords import BASE, buffer_of, masked_runs, packed, position_of, range_hashes, runs, slices, sliding_min, spread, sums_of
 from .common import parts, stored, texts
 from .pfp import repeated_windows
-from .substring_words import NO_ID, GROUP_BYTES, SECOND_BASE, counts_batch, joined_runs, whole_groups
+from .substring_words import NO_ID, GROUP_BYTES, SECOND_BASE, joined_runs, whole_groups
 
 U64 = np.uint64
 GRAM = 48
@@ -60,9 +60,9 @@ def _chunks(batches):
             yield key[x:y], data[off[x] : off[y]], off[x : y + 1] - off[x]
 
 
-def _owner_rows(batches, window, gram):
+def _owners(batches, window, gram):
     for _, data, off in _chunks(batches):
-        yield counts_batch(snippets(data, off, window, gram)[0])
+        yield snippets(data, off, window, gram)[0]
 
 
 def _digests(sums, data, first, end):
@@ -207,7 +207,7 @@ def _cut_rows(batches, window):
 def repeated_spans(d: DataFrame, window: int, gram: int, max_filter_bytes: int, most: int = GROUP_BYTES) -> DataFrame:
     """(doc, spans): the runs of repeated windows of every document that has any, of d (doc_id long, text)."""
     spark = d.sparkSession
-    often = bloom.share(spark, bloom.build(d.mapInArrow(lambda it: _owner_rows(it, window, gram), "h long, n long"), least=2, max_bytes=max_filter_bytes))
+    often = bloom.share(spark, bloom.build(d.mapInArrow(lambda it: bloom.summed(_owners(it, window, gram)), "h long, n long"), least=2, max_bytes=max_filter_bytes))
     rows = d.mapInArrow(lambda it: _snippet_rows(it, window, gram, often.value), "k long, d1 long, d2 long, many long, body binary")
     ordered = rows.repartition(parts(spark), "k").sortWithinPartitions("k").mapInArrow(lambda it: _order_rows(it, window, most), "d1 long, d2 long, start array<long>, number array<long>, many long, body binary")
     ordered = stored(ordered, "suffix-snippets")

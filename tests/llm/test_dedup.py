@@ -56,6 +56,21 @@ def test_word_passages(spark, odd, empty):
     assert substring_words.dedup_words(empty).count() == 0
 
 
+def thue_morse(n, a, b):
+    out = [a]
+    for _ in range(n):
+        out += [b if x == a else a for x in out]
+    return "".join(out)
+
+
+@pytest.mark.parametrize("power", [10, 11])
+def test_long_words_are_told_apart(spark, power):
+    few = [f"w{i}" for i in range(19)]
+    rows = [(1, " ".join([*few[:9], thue_morse(power, "a", "b"), *few[9:]])), (2, " ".join([*few[:9], thue_morse(power, "b", "a"), *few[9:]]))]
+    got = substring_words.dedup_words(spark.createDataFrame(rows, "doc_id long, text string"), digest=True).collect()
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got} == brute_words(rows) and all(r["n_removed"] == 0 for r in got)
+
+
 def brute_bytes(rows, size=200):
     c = Counter()
     for _, t in rows:
@@ -86,6 +101,10 @@ def test_prefix_free_order():
     for trial in range(40):
         texts = [bytes(rnd.choice(b"ab") if trial % 2 else rnd.randrange(97, 101) for _ in range(rnd.randrange(1, 80))) * rnd.choice([1, 1, 3]) for _ in range(rnd.randrange(1, 12))]
         data, off = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        got = pfp.repeated_windows(data, off, 5 + 8 * (trial % 3))
+        size = 5 + 8 * (trial % 3)
+        seen = Counter(raw[i : i + size] for raw in texts for i in range(len(raw) - size + 1))
+        assert got.tolist() == [i + size <= len(raw) and seen[raw[i : i + size]] > 1 for raw in texts for i in range(len(raw))]
         order, text = pfp.corpus_order(data, off, every=3)
         suffixes = [bytes(data[i : off[text[i] + 1]]) for i in order]
         assert suffixes == sorted(suffixes)
@@ -172,7 +191,7 @@ def test_filters_have_no_false_negatives():
 
     h = np.random.default_rng(0).integers(0, 2**63, 5000, dtype=np.int64).view(np.uint64) * np.uint64(2)
     q = 1 + (h % np.uint64(4)).astype(np.int16)
-    seg = (h >> np.uint64(54)).astype(int)
+    seg = (h & np.uint64(bloom.SEGMENTS - 1)).astype(int)
     names = np.unique(seg)
     f = bloom.Filter(names, pa.array([bloom.pack(h[seg == s], q[seg == s], 8, 3, 1 << 20) for s in names], pa.binary()), 3)
     assert (f.levels(h) >= q).all() and f.contains(h + np.uint64(1)).mean() < 0.2
