@@ -1,11 +1,13 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles: a prefix-filtered self-join.
+"""Near-duplicates by SimHash with exact Jaccard similarity of word shingles, and a prefix-filtered self-join for what SimHash misses.
 
-Two sets of similarity 0.8 or more overlap so far that, under any common order of shingles, they share
+Covering LSH over the SimHash fingerprints (module simhash) proposes pairs first; those whose shingle sets have a similarity of
+0.8 or more are links. Texts of similarity 0.8 differ in some ten bits of 64, far outside any radius that masks can cover, so pairs that
+are still apart are searched by their shingles. Two sets of similarity 0.8 or more overlap so far that, under any common order of shingles, they share
 one of the first n - ceil(0.8 n) + 1 elements of each (Bayardo et al., 2007). Sets meet by those
 alone, so no such pair is missed, whatever the data. Shingles found in many texts of a sample come last in
 the order, which only saves work. Of what meets, sizes and a parity sketch give exact bounds
 (the sketches differ in no more bits than the sets in elements), and what passes is compared shingle by
-shingle. Pairs that are already connected need no comparison: rounds of few neighbours link large
+shingle. Pairs that are already connected need no comparison: SimHash and rounds of few neighbours link large
 groups first, and the last round compares every pair that is still apart.
 """
 
@@ -20,6 +22,7 @@ from . import bloom
 from .bytewords import WORD_BASE, buffer_of, lower, mix, range_hashes, runs, slices, span_hashes, spread, sums_of, word_spans
 from .common import parts, stored
 from .components import connected_components
+from .simhash import fingerprint, near_links
 
 U64 = np.uint64
 #: Words of the sketches in buckets, 64 bits each. Wide sketches, held against each other before sets are fetched, have two bits an element.
@@ -117,8 +120,9 @@ def _set_rows(batches, size, num, den, late):
     for b, sh, off in _chunks(batches, size, 2):
         pre, edges = _prefixes(sh, off, num, den, late)
         sk = sketches(sh, off)
-        cols = [b.column(0), b.column(1), pa.array(digests(sh, off).view(np.int64)), pa.array(np.diff(off)), _lists(pre, edges), _lists(sk.reshape(-1), np.arange(len(off)) * SKETCH), _lists(*wide_sketches(sh, off))]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "rk", "s", "n", "prefix", "sketch", "wide"])
+        fp = np.fromiter((fingerprint(t.as_py(), size) for t in b.column(2)), U64, b.num_rows)
+        cols = [b.column(0), b.column(1), pa.array(fp.view(np.int64)), pa.array(digests(sh, off).view(np.int64)), pa.array(np.diff(off)), _lists(pre, edges), _lists(sk.reshape(-1), np.arange(len(off)) * SKETCH), _lists(*wide_sketches(sh, off))]
+        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "rk", "fp", "s", "n", "prefix", "sketch", "wide"])
 
 
 def _met_rows(batches, again):
@@ -277,9 +281,19 @@ def _verified(text: DataFrame, distinct: DataFrame, pairs: DataFrame, size: int,
     return stored(both.where(near).select("a", "b"), "near-links")
 
 
-def near_duplicates(docs: DataFrame, *, size: int = 5, num: int = 4, den: int = 5, rounds: int = 2) -> DataFrame:
+def simhash_pairs(distinct: DataFrame) -> DataFrame:
+    """(a, b): pairs of sets that connect those with fingerprints within the radius: heads of near fingerprints, and each set with the head of its own."""
+    heads = stored(distinct.groupBy("fp").agg(F.min("s").alias("head")), "near-fingerprints")
+    links = near_links(heads.select("fp"))
+    far = links.join(heads.toDF("a", "x"), "a").join(heads.toDF("b", "y"), "b").select("x", "y")
+    own = distinct.select("fp", F.col("s").alias("y")).join(heads, "fp").where("head <> y").select(F.col("head").alias("x"), "y")
+    return far.unionByName(own).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def near_duplicates(docs: DataFrame, *, size: int = 5, num: int = 4, den: int = 5, rounds: int = 1) -> DataFrame:
     """(doc_id, rk, component) for every row of docs (doc_id, rk long, text): rows have one component if links of similarity num/den or more connect them.
 
+    SimHash pairs are verified first, then `rounds` rounds of few neighbours, then all pairs that share a prefix element and are still apart.
     Similarity is |A & B| / |A | B| of the sets of `size`-word shingles, ASCII letters lowered, words apart at ASCII white space. Equal sets
     are linked, so null and wordless texts are too. Shingles and sets are told apart by 64-bit hashes.
     """
@@ -289,18 +303,21 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, num: int = 4, den: int =
     often = sample.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "h").limit(MOST).select("h").toPandas()
     late = bloom.share(spark, np.sort(often["h"].to_numpy(np.int64).view(U64)))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "rk", F.col("text").cast("string").alias("text")).mapInArrow(lambda it: _set_rows(it, size, num, den, late.value), f"doc_id {kind}, rk long, s long, n long, prefix array<long>, sketch array<long>, wide array<long>")
+    rows = docs.select("doc_id", "rk", F.col("text").cast("string").alias("text")).mapInArrow(lambda it: _set_rows(it, size, num, den, late.value), f"doc_id {kind}, rk long, fp long, s long, n long, prefix array<long>, sketch array<long>, wide array<long>")
     rows = stored(rows, "near-sets")
     distinct = stored(rows.drop("doc_id", "rk").dropDuplicates(["s"]), "near-distinct")
     counts = distinct.select(F.explode("prefix").alias("h"), F.lit(1).cast("long").alias("n"))
     again = bloom.share(spark, bloom.build(counts, least=2))
     met = stored(distinct.select("s", "n", "prefix", "sketch").mapInArrow(lambda it: _met_rows(it, again.value), "h long, s long, n long, sketch array<long>"), "near-met")
     links, label = None, None
-    for turn in range(rounds + 1):
-        placed = met.withColumn("label", F.col("s")) if label is None else met.join(label, met["s"] == label["node"], "left").withColumn("label", F.coalesce("root", "s"))
-        dealt = placed.select("h", "s", "n", "label", "sketch").repartition(parts(spark), "h").sortWithinPartitions("h")
-        found = dealt.mapInArrow((lambda it, turn=turn: _few_pairs(it, num, den, turn)) if turn < rounds else (lambda it: _all_pairs(it, num, den)), "a long, b long")
-        pairs = stored(found.distinct(), "near-pairs")
+    for turn in range(rounds + 2):
+        if not turn:
+            found = simhash_pairs(distinct)
+        else:
+            placed = met.withColumn("label", F.col("s")) if label is None else met.join(label, met["s"] == label["node"], "left").withColumn("label", F.coalesce("root", "s"))
+            dealt = placed.select("h", "s", "n", "label", "sketch").repartition(parts(spark), "h").sortWithinPartitions("h")
+            found = dealt.mapInArrow((lambda it, turn=turn: _few_pairs(it, num, den, turn)) if turn <= rounds else (lambda it: _all_pairs(it, num, den)), "a long, b long").distinct()
+        pairs = stored(found, "near-pairs")
         if pairs.limit(1).count():
             new = _verified(text, distinct, pairs, size, num, den)
             links = new if links is None else links.unionByName(new)
