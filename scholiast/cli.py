@@ -1,4 +1,4 @@
-"""Command line: highlight-plan over files of blocks and words, and manifest over stored plans."""
+"""Command line: highlight-plan over a table of documents, render-highlights and manifest over stored plans."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import SparkSession
 
 from .functions.text import slug
 from .plans import highlight as H
-from .plans.scorer import HttpScorer, OfflineScorer
+from .plans.scorer import HttpScorer, OfflineScorer, TracedScorer
 from .schema import PLAN
 from .sources import layout, stores
 
@@ -31,6 +31,11 @@ def parser() -> argparse.ArgumentParser:
         plan.add_argument(f"--max-{name}-per-page", type=int, default=most)
     for name in ("base-url", "api-key", "model"):
         plan.add_argument(f"--{name}", default="")
+    plan.add_argument("--trace", default="", help="folder for the events of the run")
+    r = sub.add_parser("render-highlights", help="what to draw for stored plans: notes, places and connectors")
+    r.add_argument("documents")
+    r.add_argument("plans")
+    r.add_argument("out")
     m = sub.add_parser("manifest", help="count what stored plans hold")
     m.add_argument("plans")
     m.add_argument("out")
@@ -43,12 +48,18 @@ def main(argv: list[str] | None = None) -> int:
     if a.command == "manifest":
         stores.write_json(H.manifest(stores.read_plan(spark, a.plans, PLAN)), a.out)
         return 0
+    if a.command == "render-highlights":
+        pages = layout.document_blocks(spark.read.parquet(a.documents)).select("doc_id", "page_number", "page_width", "page_height").distinct()
+        stores.write_json(H.drawings(stores.read_plan(spark, a.plans, PLAN), pages), a.out)
+        return 0
     url, key, model = config(a)
     if bool(url) != bool(model):
         raise SystemExit("an endpoint needs both an address and a model")
     scorer = HttpScorer(url, model, key) if url else OfflineScorer()
     if url:
         scorer.models()
+    if a.trace:
+        scorer = TracedScorer(scorer, a.trace, "cli", strict=True)
     b = layout.document_blocks(spark.read.parquet(a.documents))
     caps = H.Caps(a.max_highlights_per_page, a.max_notes_per_page, a.max_equations_per_page, a.max_equation_notes_per_page)
     stores.write_json(H.build(b, layout.words(b), scorer, caps), a.out)

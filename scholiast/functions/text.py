@@ -39,12 +39,17 @@ def clean(c: Column) -> Column:
 @F.pandas_udf(T.StringType())
 def nfkc(c: pd.Series) -> pd.Series:
     """Unicode NFKC form; the JVM side has no function for it."""
-    return c.map(lambda x: x if x is None else unicodedata.normalize("NFKC", x), na_action="ignore")
+    return c.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")
 
 
-def clean_any(c: Column) -> Column:
-    """clean() for text in any Unicode form."""
-    return clean(nfkc(c))
+#: Characters that NFKC leaves alone next to any other of them: ASCII, most Latin, Greek and Cyrillic letters, common marks, kana, ideographs, Hangul.
+STABLE = r"\x00-\x7f\xa1-\xa7\xa9\xab-\xae\xb0\xb1\xb6\xb7\xbb\xbf-\u0131\u0134-\u013e\u0141-\u0148\u014a-\u017e\u0391-\u03a1\u03a3-\u03ce\u0400-\u0482\u2012-\u2016\u2018-\u201e\u2020-\u2022\u3041-\u3094\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3"
+
+
+def normal(c: Column) -> Column:
+    """Text in NFKC form. Only texts with a character that may change go to Python; sources apply this once, and clean() builds on it."""
+    change = (F.octet_length(c) != F.char_length(c)) & F.rlike(c, F.lit(f"[^{STABLE}]"))
+    return F.coalesce(nfkc(F.when(change, c)), c)
 
 
 def tokens(c: Column) -> Column:
@@ -204,6 +209,21 @@ def note_question(section: Column) -> Column:
     return F.format_string("Explain the technical role of this highlighted passage in section %s.", F.when(F.coalesce(section, F.lit("")) != "", section).otherwise("unknown section"))
 
 
+def has_content(size: Column) -> Column:
+    """An upload of no bytes is rejected."""
+    return F.coalesce(size > 0, F.lit(False))
+
+
+def plan_path(out_dir: Column, title: Column) -> Column:
+    """Where a document's annotated copy goes if no place is named."""
+    return F.concat(F.rtrim(out_dir, F.lit("/")), F.lit("/"), slug(title), F.lit(".annotated.pdf"))
+
+
+def latex_key(latex: Column, size: Column, colour: Column) -> Column:
+    """Equal keys need one drawing only."""
+    return F.sha2(F.concat_ws("\x1f", render_latex(latex), size.cast("string"), colour), 256)
+
+
 def is_pdf(name: Column, kind: Column) -> Column:
     return F.coalesce(F.endswith(F.lower(F.btrim(name)), F.lit(".pdf")), F.lit(False)) | F.coalesce(F.lower(F.btrim(kind)) == "application/pdf", F.lit(False))
 

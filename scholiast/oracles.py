@@ -40,10 +40,14 @@ least(CAST(792 AS DOUBLE), 40 + (block_pos % 8) * 90 + 12 * ceil(CAST(greatest(l
 CAST(CASE WHEN length(text) <= 60 AND NOT ends_with(text, '.') THEN 14 ELSE 10 END AS DOUBLE) AS font
 FROM lines WHERE {clean("text")} <> '')"""
 
-#: Blocks of web pages: what follows the opening tags of titles, headings, paragraphs and list items.
-HTML = f"""raw AS (SELECT page_id AS doc_id, regexp_extract_all(regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>', '', 'g'), '(?is)<(?:title|h1|p|li)(?:\\s[^>]*)?>[^<]*') AS es FROM pages),
+EDGES = "html|head|body|title|h[1-6]|p|li|ul|ol|dl|dt|dd|div|article|section|main|aside|nav|header|footer|table|tr|td|th|pre|blockquote|form|hr"
+_bare = r"regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|[\x01-\x03]', '', 'g')"
+_open = rf"regexp_replace({_bare}, '(?i)<(title|h1|p|li)(?:\s[^>]*)?>', chr(1) || '\1' || chr(2), 'g')"
+_shut = rf"regexp_replace(regexp_replace({_open}, '(?i)</?(?:{EDGES})(?:\s[^>]*)?/?>', chr(3), 'g'), '(?i)<br\s*/?>', ' ', 'g')"
+#: Blocks of web pages: the whole text of titles, headings, paragraphs and list items.
+HTML = f"""raw AS (SELECT page_id AS doc_id, regexp_extract_all(regexp_replace({_shut}, '<[^>]*>', '', 'g'), '\\x01[^\\x01\\x03]*') AS es FROM pages),
 els AS (SELECT doc_id, unnest(es) AS e, CAST(unnest(range(len(es))) AS INT) AS block_pos FROM raw),
-h AS (SELECT doc_id, block_pos, regexp_replace(e, '^<[^>]*>', '') AS text, regexp_matches(e, '(?i)^<(title|h1)') AS head FROM els),
+h AS (SELECT doc_id, block_pos, regexp_replace(e, '^\\x01[^\\x02]*\\x02', '') AS text, regexp_matches(e, '(?i)^\\x01(title|h1)') AS head FROM els),
 b AS (SELECT doc_id, block_pos // 8 + 1 AS page_number, block_pos, text, CAST(CASE WHEN head THEN 20 ELSE 10 END AS DOUBLE) AS font,
 CAST(40 + (block_pos % 8) * 90 AS DOUBLE) AS y0, least(CAST(792 AS DOUBLE), 40 + (block_pos % 8) * 90 + 12 * ceil(CAST(greatest(length(text), 1) AS DOUBLE) / 100)) AS y1 FROM h WHERE {clean("text")} <> '')"""
 

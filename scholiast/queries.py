@@ -17,7 +17,7 @@ from .functions import structure as S
 from .functions import text as T
 from .operators import align, blocks, contexts, equations, margin, select
 from .plans import highlight
-from .plans.scorer import OfflineScorer, idea_kind
+from .plans.scorer import OfflineScorer
 from .sources import layout, stores
 from .streaming import progress
 
@@ -318,10 +318,12 @@ def useful_sections(spark, d):
 _Q = f"SELECT item_id, CAST(unnest(range(len(s))) AS INT) AS sentence, unnest(s) AS s FROM (SELECT item_id, {O.split('text', '.!?')} AS s FROM benchmark)"
 
 
-@query(f"""WITH q AS (SELECT item_id, sentence, {O.tokens('s')} AS q FROM ({_Q})), qq AS (SELECT *, len(q) AS n, array_to_string(q, ' ') AS body FROM q WHERE len(q) BETWEEN 5 AND 60),
-d AS (SELECT doc_id, {O.tokens('text')} AS t FROM documents), sizes AS (SELECT DISTINCT n FROM qq),
-g AS (SELECT doc_id, n, a - 1 AS start, array_to_string(t[a:a + n - 1], ' ') AS body FROM (SELECT doc_id, t, n, unnest(range(1, len(t) - n + 2)) AS a FROM d, sizes WHERE len(t) >= n))
-SELECT item_id, sentence, doc_id, count(*) AS hits, CASE WHEN count(*) = 1 THEN CAST(min(start) AS INT) END AS start FROM g JOIN qq ON g.n = qq.n AND g.body = qq.body GROUP BY item_id, sentence, doc_id""")
+@query(f"""WITH q AS MATERIALIZED (SELECT *, least(len(q), 3) AS n, array_to_string(q[1:3], ' ') AS k FROM (SELECT item_id, sentence, {O.tokens('s')} AS q FROM ({_Q})) WHERE len(q) BETWEEN 1 AND 60),
+d AS MATERIALIZED (SELECT doc_id, {O.tokens('text')} AS t FROM documents), sizes AS (SELECT DISTINCT n FROM q),
+g AS (SELECT doc_id, n, a, array_to_string(t[a:a + n - 1], ' ') AS k FROM (SELECT doc_id, t, n, unnest(range(1, len(t) - n + 2)) AS a FROM d, sizes WHERE len(t) >= n)),
+m AS (SELECT g.doc_id, g.a, q.item_id, q.sentence, q.q FROM g JOIN q ON g.n = q.n AND g.k = q.k),
+h AS (SELECT item_id, sentence, doc_id, a FROM m JOIN d USING (doc_id) WHERE t[a:a + len(q) - 1] = q)
+SELECT item_id, sentence, doc_id, count(*) AS hits, CASE WHEN count(*) = 1 THEN CAST(min(a) - 1 AS INT) END AS start FROM h GROUP BY item_id, sentence, doc_id""")
 def align_exact(spark, d):
     return align.exact_alignment(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "benchmark").select("item_id", "text"))
 
@@ -387,10 +389,10 @@ def grounding(spark, d):
     return constant(spark, GROUNDED, "latex string, source string, expected boolean").select("latex", A.grounded_udf("latex", "source").alias("grounded"))
 
 
-@query(O.over_blocks(f"doc_id, block_pos, {c} AS matched, x0, y0, x0 + least(12, len(string_split(text, ' '))) * 40 - 4 AS x1, y0 + (len(string_split(text, ' ')) - 1) // 12 * 12 + 10 AS y1", "WHERE NOT contains(text, '  ') AND NOT starts_with(text, ' ') AND NOT ends_with(text, ' ')"))
+@query(f"WITH {O.BLOCKS}, w AS (SELECT * FROM (SELECT *, unnest(string_split(text, ' ')) AS word, unnest(range(len(string_split(text, ' ')))) AS w FROM b) WHERE word <> '') SELECT doc_id, block_pos, {O.clean('any_value(text)')} AS matched, min(x0 + (w % 12) * 40) AS x0, min(y0 + (w // 12) * 12) AS y0, max(x0 + (w % 12) * 40 + 36) AS x1, max(y0 + (w // 12) * 12 + 10) AS y1 FROM w GROUP BY doc_id, block_pos")
 def align_whole_blocks(spark, d):
     """All words of a block as one match: text and bounding box."""
-    b = doc_blocks(spark, d).where("NOT contains(text, '  ') AND NOT startswith(text, ' ') AND NOT endswith(text, ' ')")
+    b = doc_blocks(spark, d)
     g = layout.words(b).groupBy(*BK).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("word_pos", "text"))), lambda w: w["text"]), " ").alias("t"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
     return g.select(*BK, T.clean(F.col("t")).alias("matched"), "x0", "y0", "x1", "y1")
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import clean, first_token
+from ..functions.text import clean, first_token, normal
 
 PER_PAGE, WIDTH, HEIGHT = 8, 612.0, 792.0
 
@@ -38,18 +38,26 @@ def _placed(rows: DataFrame, font: Column) -> DataFrame:
 
 def document_blocks(docs: DataFrame) -> DataFrame:
     """Every non-empty line of a text is a block; short lines without a full stop are set larger."""
+    docs = docs.select("doc_id", normal(F.col("text")).alias("text"))
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("block_pos", "text"))
     return _placed(lines, F.when((F.length("text") <= 60) & ~F.endswith("text", F.lit(".")), 14.0).otherwise(10.0))
 
 
-ELEMENT = r"(?is)<(?:title|h1|p|li)(?:\s[^>]*)?>[^<]*"
+#: Elements that are blocks, and others that end one. All other tags stand inside a block.
+BLOCK_TAGS = "title|h1|p|li"
+EDGE_TAGS = "html|head|body|title|h[1-6]|p|li|ul|ol|dl|dt|dd|div|article|section|main|aside|nav|header|footer|table|tr|td|th|pre|blockquote|form|hr"
 
 
 def html_blocks(pages: DataFrame) -> DataFrame:
-    """Titles, headings, paragraphs and list items of raw HTML, scripts and styles aside; what an element has up to its first inner tag."""
-    bare = F.regexp_replace("html", r"(?is)<script.*?</script>|<style.*?</style>", "")
-    found = pages.select(F.col("page_id").alias("doc_id"), F.posexplode(F.regexp_extract_all(bare, F.lit(ELEMENT), F.lit(0))).alias("block_pos", "e"))
-    rows = found.select("doc_id", "block_pos", F.regexp_replace("e", r"^<[^>]*>", "").alias("text"), F.rlike("e", F.lit(r"(?i)^<(title|h1)")).alias("head"))
+    """Titles, headings, paragraphs and list items of raw HTML, scripts, styles and comments aside, each with all of its text.
+
+    Opening tags of blocks become a mark with the tag's name, edges of other elements an end mark, line breaks a blank; what is then still a tag goes.
+    """
+    bare = F.regexp_replace(normal(F.col("html")), r"(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->|[\x01-\x03]", "")
+    marked = F.regexp_replace(bare, rf"(?i)<({BLOCK_TAGS})(?:\s[^>]*)?>", "\x01$1\x02")
+    ended = F.regexp_replace(F.regexp_replace(marked, rf"(?i)</?(?:{EDGE_TAGS})(?:\s[^>]*)?/?>", "\x03"), r"(?i)<br\s*/?>", " ")
+    found = pages.select(F.col("page_id").alias("doc_id"), F.posexplode(F.regexp_extract_all(F.regexp_replace(ended, r"<[^>]*>", ""), F.lit(r"\x01[^\x01\x03]*"), F.lit(0))).alias("block_pos", "e"))
+    rows = found.select("doc_id", "block_pos", F.regexp_replace("e", r"^\x01[^\x02]*\x02", "").alias("text"), F.rlike("e", F.lit(r"(?i)^\x01(title|h1)")).alias("head"))
     return _placed(rows, F.when(F.col("head"), 20.0).otherwise(10.0))
 
 

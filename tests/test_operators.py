@@ -39,7 +39,17 @@ def test_sql(spark, name):
 def test_entry(spark):
     import __spark_entry__
 
-    assert __spark_entry__.entry(spark).count() == 8
+    import duckdb
+
+    from scholiast.operators.align import exact_alignment
+
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
+    got = __spark_entry__.entry(spark)
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({__spark_entry__.oracle_sql()['align_exact']})").fetchall()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert exact_alignment(*(spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "benchmark")), least=5).count() == 8
 
 
 def place_one_by_one(notes, width, page_height, most):
@@ -103,16 +113,129 @@ def test_progress_stream(spark, tmp_path):
     assert progress.fold(stores.read_trace(spark, str(tmp_path / "t"))).collect()[0]["message"] == got[0]["message"]
 
 
-def test_plan(spark):
+def test_plan_with_trace_and_drawings(spark, tmp_path):
     from scholiast.plans import highlight as H
+    from scholiast.plans.scorer import OfflineScorer, TracedScorer
     from scholiast.schema import PLAN
-    from scholiast.sources import layout
+    from scholiast.sources import layout, stores
+    from scholiast.streaming import progress
 
     b = layout.document_blocks(spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 3"))
-    plan = H.build(b, layout.words(b))
+    plan = H.build(b, layout.words(b), TracedScorer(OfflineScorer(), str(tmp_path / "trace"), "job", strict=True))
     m = H.manifest(plan).groupBy().sum("highlights", "notes").first()
     assert m[0] >= 1 and m[1] >= 1
     assert spark.createDataFrame(plan.rdd, PLAN).count() == plan.count()
+    stores.write_json(plan, str(tmp_path / "plan"))
+    stored = stores.read_plan(spark, str(tmp_path / "plan"), PLAN)
+    assert sorted(map(str, stored.collect())) == sorted(map(str, plan.select(*stored.columns).collect()))
+
+    events = stores.read_trace(spark, str(tmp_path / "trace"))
+    kinds = {r["type"]: r["count"] for r in events.groupBy("type").count().collect()}
+    assert kinds["request"] == kinds["response"] >= 3 and events.select("seq").distinct().count() == events.count()
+    assert progress.fold(events).first()["completed_steps"] == kinds["response"]
+
+    pages = b.select("doc_id", "page_number", "page_width", "page_height").distinct()
+    drawn = H.drawings(stored, pages).collect()
+    notes = {n["note_id"] for r in stored.collect() for p in r["pages"] for n in p["notes"]}
+    assert drawn and {r["note_id"] for r in drawn} <= notes
+    assert all(24 <= r["y0"] < r["y1"] <= 792 - 24 and r["width"] == 832 and r["y0"] <= r["connector"]["y1"] <= r["y1"] for r in drawn)
+
+
+def test_unreadable_answers_fail_a_strict_run(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from scholiast.plans.scorer import Scorer, TracedScorer
+    from scholiast.sources import stores
+
+    class Mumbling(Scorer):
+        def __call__(self, requests):
+            return requests.withColumn("answer", F.lit("well, ...")).withColumn("error", F.lit(None).cast("string"))
+
+    asked = spark.createDataFrame([("1", "note_generation", "{}")], "request_id string, task string, payload string")
+    assert TracedScorer(Mumbling(), str(tmp_path / "t"), "j")(asked).count() == 1
+    with pytest.raises(ValueError, match="1 answers of note_generation"):
+        TracedScorer(Mumbling(), str(tmp_path / "t"), "j", strict=True)(asked)
+    assert stores.read_trace(spark, str(tmp_path / "t")).where("type = 'response'").count() == 2
+
+
+def test_endpoint(spark):
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from scholiast.plans.scorer import HttpScorer, answers
+
+    class Handler(BaseHTTPRequestHandler):
+        def _say(self, what):
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps(what).encode())
+
+        def do_GET(self):
+            self._say({"data": [{"id": "m"}]})
+
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            assert asked["model"] == "m" and "PAYLOAD_JSON_START" in asked["messages"][1]["content"]
+            self._say({"choices": [{"message": {"content": '<think>x</think>{"notes":[{"highlight_id":"h","title":"t","body":"b","confidence":1}]}'}}]})
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_port}"
+    try:
+        assert HttpScorer(url, "m").models() == ["m"]
+        with pytest.raises(RuntimeError):
+            HttpScorer(url, "other").models()
+        asked = spark.createDataFrame([("1", "note_generation", "{}")], "request_id string, task string, payload string")
+        assert answers(HttpScorer(url, "m")(asked), "note_generation").first()["parsed"]["notes"][0]["title"] == "t"
+    finally:
+        server.shutdown()
+    lost = HttpScorer("http://127.0.0.1:9", "m")(asked).first()
+    assert lost["answer"] is None and lost["error"]
+
+
+def test_job_log(spark, tmp_path):
+    from scholiast.sources import stores
+    from scholiast.streaming import progress
+
+    path = str(tmp_path / "jobs")
+    new = spark.createDataFrame([("a", "x.pdf", "t", "queued", None, "1", "1", None), ("b", "y.pdf", "u", "queued", None, "2", "2", None)], stores.JOB)
+    stores.append_jobs(new, path)
+    stores.append_jobs(stores.changed(new, "running", "3"), path)
+    stores.append_jobs(stores.changed(new.where("job_id = 'a'"), "failed", "4", "no text"), path)
+    stores.append_jobs(stores.changed(new.where("job_id = 'b'"), "deleted", "5"), path)
+    assert [(r["job_id"], r["status"], r["error"]) for r in stores.current(spark, path).collect()] == [("a", "failed", "no text")]
+    states = progress.transitions(spark.read.schema(stores.JOB).json(path).where("job_id = 'a'"))
+    assert [r["valid"] for r in states.orderBy("updated_at").collect()] == [True, True, True]
+    assert stores.job_paths("/jobs/", "a")["trace"] == "/jobs/a/work/trace" and stores.run_paths("w")["plan"] == "w/plan"
+
+
+def test_small_text_functions(spark):
+    from pyspark.sql import functions as F
+
+    from scholiast.functions import text as T
+
+    row = spark.range(1).select(
+        T.has_content(F.lit(0)).alias("a"),
+        T.has_content(F.lit(5)).alias("b"),
+        T.has_content(F.lit(None).cast("long")).alias("c"),
+        T.plan_path(F.lit("out/"), F.lit("A Title: Of Two")).alias("d"),
+        (T.latex_key(F.lit("$x$"), F.lit(10), F.lit("red")) == T.latex_key(F.lit(" x "), F.lit(10), F.lit("red"))).alias("e"),
+        (T.latex_key(F.lit("x"), F.lit(11), F.lit("red")) == T.latex_key(F.lit("x"), F.lit(10), F.lit("red"))).alias("f"),
+    ).first()
+    assert tuple(row) == (False, True, False, "out/a-title-of-two.annotated.pdf", True, False)
+
+
+def test_web_blocks_have_all_their_text(spark):
+    from scholiast.sources import layout
+
+    html = "<html><head><title>A &amp; B</title><script>var x='<p>no</p>'</script></head><body><!-- <p>no</p> --><h1>Top</h1><div>out</div><p>one <b>two</b><br>three <a href='x'>four</a></p><ul><li><i>five</i> six<li>seven</ul> tail <p class=x>eight"
+    got = layout.html_blocks(spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id long, html string")).orderBy("block_pos").collect()
+    assert [r["text"].strip() for r in got] == ["A &amp; B", "Top", "one two three four", "five six", "seven", "eight"]
+    assert [r["font"] for r in got] == [20.0, 20.0, 10.0, 10.0, 10.0, 10.0]
 
 
 def test_profile():
