@@ -33,6 +33,11 @@ def unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
+def cosines(v: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Dot products of rows p and q of v, in few rows at a time: each pair's sum is taken alone, so it is the same in any batch."""
+    return np.concatenate([(v[p[k : k + 4096]] * v[q[k : k + 4096]]).sum(1) for k in range(0, len(p), 4096)] or [np.zeros(0)])
+
+
 def _usable(column: pa.Array) -> list[np.ndarray | None]:
     out: list[np.ndarray | None] = []
     for x in column:
@@ -80,8 +85,7 @@ def _compare(batches, threshold):
             p, q = x[p], y[q]
             if own:
                 p, q = p[p < q], q[p < q]
-            exact = np.fromiter((float(v[m] @ v[n]) for m, n in zip(p, q)), float, len(p)) if len(p) < 512 else np.einsum("ij,ij->i", v[p], v[q])
-            keep = exact >= threshold
+            keep = cosines(v, p, q) >= threshold
             first = (keys[a + p[keep]] == keys[a + q[keep]]).argmax(1) == t[a]
             p, q = p[keep], q[keep]
             star = roots(e - a, p, q)
@@ -127,7 +131,7 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.98, tables: int
     kind = v.schema["label"].dataType.simpleString()
     signed = v.mapInArrow(lambda it: _sign_rows(it, tables, bits, seed), f"vec_id long, label {kind}, body binary, keys array<int>")
     fit = F.col("label").isNotNull() & F.col("body").isNotNull()
-    # The class id is the digest of label and components: 64 bits for the joins, all components for the comparison of equal ids.
+    # The class id is a 64-bit hash of label and components; vectors are taken for equal if it is.
     rows = stored(signed.withColumn("cid", F.when(fit, F.xxhash64("label", "body"))), "embedding-rows")
     classes = rows.where("cid IS NOT NULL").groupBy("cid").agg(F.count("*").alias("many"), F.min("vec_id").alias("first"), F.first("label").alias("label"), F.first("body").alias("body"), F.first("keys").alias("keys"))
     classes = stored(classes, "embedding-classes")

@@ -85,16 +85,18 @@ class NonNegativePU:
         return self
 
 
-def train(docs: DataFrame, labels: DataFrame, *, max_positive: int = 8000, max_unlabelled: int = 16000, label: str = "toxic", **params) -> NonNegativePU:
+def train(docs: DataFrame, labels: DataFrame, *, max_positive: int = 8000, max_unlabelled: int = 16000, label: str = "toxic", unknown: float = 0.01, **params) -> NonNegativePU:
     """A classifier from at most max_positive confirmed toxic texts and max_unlabelled others, both outside the held-out fold.
 
     The unlabelled rows come from all training documents that aren't confirmed toxic, whatever else their labels say. The prior among
-    them is the labelled toxic rate of the training fold; rows with a null label or id are not used.
+    them is the labelled toxic rate of the training fold; rows with a null label or id are not used. Without any label the score of every
+    text is `unknown`, so nothing is called toxic. Ties and repeated rows weigh as often as they stand; other columns are not read.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & (fold() != 0)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     rate = known.agg(F.avg("y").alias("r")).first()["r"]
     model = NonNegativePU(**params)
     if rate is None:
+        model.b = float(np.log(unknown / (1 - unknown)))
         return model
     toxic = known.where("y = 1")
     ids = texts(docs).select("doc_id").where(F.col("doc_id").isNotNull() & (fold() != 0)).distinct()
