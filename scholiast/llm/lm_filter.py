@@ -34,7 +34,7 @@ U64 = np.uint64
 BASE, KAPPA, MOST = 1.5, 2.0, 0.25
 END, START = U64(0x8F1BBCDCBFA53E0B), U64(0x5A827999CA62C1D6)
 #: Bigram hashes gathered before a map task sums them.
-GATHER = 3_000_000
+GATHER = 2_000_000
 
 
 def quantise(n: np.ndarray) -> np.ndarray:
@@ -72,7 +72,7 @@ def bigram(before: np.ndarray, t: np.ndarray) -> np.ndarray:
 
 def _chunks(column):
     data, off = buffer_of(column)
-    for a, b in slices(off):
+    for a, b in slices(off, 1 << 19):
         yield a, b, *tokens(data[off[a] : off[b]], off[a : b + 1] - off[a])
 
 
