@@ -12,7 +12,7 @@ import public_tokenizers as P
 import pyarrow as pa
 import pytest
 
-from scholiast.llm import bpe, features, lm_filter, quality_fm, token_counts, toxicity
+from scholiast.llm import bpe, features, lm_filter, quality_fm, queries, token_counts, toxicity
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
 
@@ -101,10 +101,36 @@ def test_positive_unlabelled(spark):
     got = {r["doc_id"]: r for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
     held = [(got[i]["score"], y) for i, _, y in rows if got[i]["held_out"]]
     assert all(got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) for i, _, _ in rows)
-    order = sorted(held)
+    assert held_out_auc(held) > 0.9
+
+
+def held_out_auc(pairs):
+    order = sorted(pairs)
     ranks = [k for k, (_, y) in enumerate(order) if y]
     n1, n0 = len(ranks), len(order) - len(ranks)
-    assert (sum(ranks) - n1 * (n1 - 1) / 2) / (n1 * n0) > 0.9
+    return (sum(ranks) - n1 * (n1 - 1) / 2) / (n1 * n0)
+
+
+@pytest.mark.parametrize("query, label, least", [("op1_toxicity", "toxic", 0.95), ("op5_quality", "quality", 0.95)])
+def test_classifiers_on_held_out_rows_of_the_real_table(spark, query, label, least):
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet").where(f"{label} IS NOT NULL").select("doc_id", label)
+    scored = queries.QUERIES[query](spark, d)
+    assert held_out_auc([(r[0], r[1]) for r in scored.where("held_out").join(labels, "doc_id").select("score", label).collect()]) >= least
+
+
+def test_toxicity_of_odd_tables(spark, odd, empty):
+    rows = planted(600, 5)
+    docs = spark.createDataFrame([(i, t, 1.0, "clash") for i, t, _ in rows], "doc_id long, text string, score double, y string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    got = toxicity.score(odd, model).collect()
+    assert len(got) == odd.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got)
+    assert len({r["score"] for r in got if r["doc_id"] in (1, 5, None)}) <= 2  # equal texts, equal scores; null and empty texts too
+    assert len({r["score"] for r in got if r["doc_id"] in (2, 3)}) == 1
+    assert toxicity.score(empty, toxicity.train(empty, labels)).count() == 0
+    calm = toxicity.score(docs, toxicity.train(docs, labels.limit(0)))
+    assert calm.where("predicted = 1").count() == 0
 
 
 def test_risk_is_clamped():
