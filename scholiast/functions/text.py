@@ -26,6 +26,8 @@ SENTENCE_END = r"[.!?:;][\"')\]]*$"
 #: Words that leave a quote hanging.
 DANGLING = ("a", "an", "and", "as", "at", "by", "for", "from", "in", "into", "of", "on", "or", "the", "to", "with")
 # --------------------------------------------------------------------------------------------
+#: A character that makes a word have a token, before clean().
+TOKEN_CHAR = r"[0-9A-Za-z\u0370-\u03FF" + "".join(LIGATURES) + "]"
 
 
 def clean(c: Column) -> Column:

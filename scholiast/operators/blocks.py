@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import structure as S
 from ..functions.alignment import repair_text_udf
-from ..functions.text import clean
+from ..functions.text import TOKEN_CHAR, clean
 
 PAGE = ("doc_id", "page_number")
 ORDER = ("page_number", "block_pos")
@@ -50,10 +50,8 @@ def with_references(blocks: DataFrame) -> DataFrame:
 
 
 def with_word_counts(blocks: DataFrame) -> DataFrame:
-    """Adds word_count: blank-separated words that have a token."""
-    from ..functions.text import first_token
-
-    return blocks.withColumn("word_count", F.size(F.filter(F.split("text", " "), lambda x: first_token(x) != "")))
+    """Adds word_count: blank-separated words that have a token, each matched once from its first token character to its end."""
+    return blocks.withColumn("word_count", F.regexp_count("text", F.lit(f"{TOKEN_CHAR}[^ ]*")))
 
 
 def structured(blocks: DataFrame) -> DataFrame:
