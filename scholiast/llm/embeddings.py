@@ -1,17 +1,21 @@
 """Embedding near-duplicates: sign hashing by random hyperplanes, exact verification, components.
 
 Vectors of one label that are equal in every component form a class; classes are what is compared,
-and their sizes enter the link counts. Each of TABLES tables cuts the space by BITS hyperplanes. Two
+and their sizes enter the link counts. Each of several tables cuts the space by a number of hyperplanes. Two
 classes that share a bucket are compared exactly; a pair that shares several is counted in the first
 of them, which both sides can tell from their signatures. A bucket whose size passes BLOCK is dealt
 in blocks, every pair of blocks to its own task, so that no task holds more than two blocks.
 
-With cosine 0.98 a plane separates a pair with probability 0.064; sixteen tables of twelve bits then
-miss it with probability below 1e-4, and pairs closer than that less often still.
+The number of planes grows with the logarithm of the number of vectors, so buckets of spread vectors do not
+grow with the corpus, and the number of tables is what keeps the chance to miss a pair at the
+threshold below MISS: at cosine 0.98 a plane separates a pair with probability 0.064, so sixteen tables of
+twelve bits, or 32 of 21 bits for some 10^8 vectors. Closer pairs are missed less often still.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,7 +24,17 @@ from pyspark.sql import functions as F
 from .common import parts, stored
 from .components import connected_components, roots
 
-TABLES, BITS, BLOCK = 16, 12, 2048
+BLOCK = 2048
+#: Vectors to a bucket, were they spread evenly, and the least number of planes.
+SPREAD, LEAST_BITS = 64, 12
+MISS = 1e-4
+
+
+def shape(n: int, threshold: float, miss: float = MISS) -> tuple[int, int]:
+    """(tables, bits) for n vectors: a pair at the threshold shares no bucket with probability below miss."""
+    bits = min(30, max(LEAST_BITS, math.ceil(math.log2(max(1, n) / SPREAD))))
+    share = (1 - math.acos(threshold) / math.pi) ** bits
+    return math.ceil(math.log(miss) / math.log1p(-share)) if share < 1 else 1, bits
 
 
 def planes(dim: int, tables: int, bits: int, seed: int) -> np.ndarray:
@@ -119,14 +133,16 @@ def _compare(batches, threshold):
         yield from unit_rows(pa.Table.from_batches(held))
 
 
-def near_duplicates(vectors: DataFrame, *, threshold: float = 0.98, tables: int = TABLES, bits: int = BITS, block: int = BLOCK, seed: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, threshold: float = 0.98, miss: float = MISS, block: int = BLOCK, seed: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors.
 
     Vectors link if their labels are equal and not null and their cosine in double precision is `threshold` or more; null, empty and zero
     vectors and such with null or non-finite components link with nothing, nor do vectors of different length. Rows are what is counted, so
-    a repeated row links with its twin. kept is vec_id = component_id; a null id is never kept.
+    a repeated row links with its twin. kept is vec_id = component_id; a null id is never kept. miss bounds the chance that a pair at the
+    threshold is not compared.
     """
     spark = vectors.sparkSession
+    tables, bits = shape(vectors.count(), threshold, miss)
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"), F.col(label_col).alias("label"))
     kind = v.schema["label"].dataType.simpleString()
     signed = v.mapInArrow(lambda it: _sign_rows(it, tables, bits, seed), f"vec_id long, label {kind}, body binary, keys array<int>")
