@@ -120,18 +120,22 @@ def near_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     keyed = distinct.select("fp", F.posexplode(masks).alias("t", "m")).select("t", F.col("fp").bitwiseAND(F.col("m")).alias("k"), "fp")
 
     def run(batches):
-        rest = None
+        held = []  # the run of one key that is still open, in pieces
         for b in batches:
+            if not b.num_rows:
+                continue
             t, k, f = (b.column(i).to_numpy() for i in range(3))
-            if rest is not None:
-                t, k, f = (np.concatenate([p, q]) for p, q in zip(rest, (t, k, f)))
+            if held and (t[0] != held[-1][0][-1] or k[0] != held[-1][1][-1]):
+                yield from emit(*map(np.concatenate, zip(*held)))
+                held = []
             new = np.flatnonzero((t[1:] != t[:-1]) | (k[1:] != k[:-1]))
             cut = int(new[-1]) + 1 if len(new) else 0
-            rest = (t[cut:], k[cut:], f[cut:])
             if cut:
-                yield from emit(t[:cut], k[:cut], f[:cut])
-        if rest is not None:
-            yield from emit(*rest)
+                yield from emit(*map(np.concatenate, zip(*held, (t[:cut], k[:cut], f[:cut]))))
+                held = []
+            held.append((t[cut:], k[cut:], f[cut:]))
+        if held:
+            yield from emit(*map(np.concatenate, zip(*held)))
 
     def emit(t, k, f):
         run_no = np.cumsum(np.concatenate([[0], ((t[1:] != t[:-1]) | (k[1:] != k[:-1])).astype(int)]))
