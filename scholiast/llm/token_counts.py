@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 from .common import shared_dir, stored, texts
 
+#: So few missing digests (some 70 bytes each) are broadcast to the texts; more meet them by a shuffle of all texts.
+FEW_MISSING = 20_000
 CACHE_SCHEMA = "version string, digest binary, n_tokens long"
 #: The code points that Unicode lists as White_Space.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -102,8 +104,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_dir: str, *, limit:
 
     Normalised content: null becomes the empty text, nothing else, since every other change could change a count.
     Rows with one doc_id and different texts keep their own counts; repeated rows repeat; null ids stay.
-    Only ids and digests are grouped. A text moves once, to the task that encodes it, and only if its digest is
-    missing and it is the one picked for that digest, so a text with many copies moves once as well.
+    Only ids and digests are grouped. One row is picked for each missing digest and encoded. Where few digests are missing, as on a
+    corpus that the cache knows, they are broadcast and texts stay where they are read; else each text moves once, to meet what is missing.
     """
     spark = docs.sparkSession
     version = version_of(tokenizer_path)
@@ -111,7 +113,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_dir: str, *, limit:
     digest = F.unhex(F.sha2(F.col("text").cast("binary"), 256))
     keyed = stored(d.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), digest.alias("digest")), "token-digests")
     have = read_cache(spark, cache_dir).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    missing = keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(have, "digest", "left_anti")
+    missing = stored(keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(have, "digest", "left_anti"), "token-misses")
+    misses = F.broadcast(missing) if missing.count() <= FEW_MISSING else missing.hint("shuffle_hash")
 
     def run(batches):
         count = counter(tokenizer_path)
@@ -128,7 +131,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_dir: str, *, limit:
                 a = e
 
     # Ids that several texts share, or null, leave several candidates for a digest; the digest is part of the join.
-    picked = missing.hint("shuffle_hash").alias("m").join(d.withColumn("digest", digest).alias("d"), F.col("m.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("m.digest") == F.col("d.digest")))
+    picked = misses.alias("m").join(d.withColumn("digest", digest).alias("d"), F.col("m.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("m.digest") == F.col("d.digest")))
     fresh = picked.select(F.col("d.digest"), F.col("d.text")).mapInArrow(run, "digest binary, n_tokens long")
     fresh.select(F.lit(version).alias("version"), "digest", "n_tokens").dropDuplicates(["digest"]).write.mode("append").parquet(cache_dir)
     counts = read_cache(spark, cache_dir).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
