@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, embeddings, lm_filter, quality_fm, simhash, substring_words, suffix_bytes, token_counts, toxicity
+from . import bpe, decontaminate, embeddings, lm_filter, oracles, quality_fm, simhash, substring_words, suffix_bytes, token_counts, toxicity
 from .common import table
 
 
@@ -61,4 +61,9 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_lm_filter, op4_simhash, op5_quality, op6_substring_words, op7_embeddings, op8_decontaminate, op9_suffix_bytes, op10_token_counts)}
-ORACLES: dict[str, str] = {"op8_decontaminate": decontaminate.ORACLE}
+ORACLES: dict[str, str] = {
+    "op6_substring_words": oracles.SUBSTRING_WORDS,
+    "op7_embeddings": oracles.EMBEDDINGS,
+    "op8_decontaminate": decontaminate.ORACLE,
+    "op9_suffix_bytes": oracles.SUFFIX_BYTES,
+}

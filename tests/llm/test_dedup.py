@@ -214,3 +214,36 @@ def test_decontamination(spark, odd, empty, limit):
     assert decontaminate.decontaminate(odd, bench).count() == odd.count()
     assert decontaminate.decontaminate(odd, empty.withColumnRenamed("doc_id", "item_id")).where("n_hit > 0").count() == 0
     assert decontaminate.decontaminate(empty, bench).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 500, 10**6, 10**8, 10**11])
+def test_tables_keep_the_chance_to_miss(n):
+    tables, bits = embeddings.shape(n, 0.98)
+    assert 12 <= bits <= 30 and n / 2**bits < 128
+    assert (1 - (1 - np.arccos(0.98) / np.pi) ** bits) ** tables <= 1e-4
+
+
+def test_embeddings_of_more_planes(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "SPREAD", 1 / 1000)
+    rng = np.random.default_rng(1)
+    x = np.repeat(rng.normal(size=(60, 24)), 5, axis=0) + rng.normal(size=(300, 24)) * 0.05
+    got = embeddings.near_duplicates(spark.createDataFrame([(i, [float(y) for y in v], 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int"))
+    u = embeddings.unit(x)
+    assert embeddings.shape(300, 0.98)[1] > 18
+    assert got.agg({"n_links": "sum"}).first()[0] >= 0.999 * ((u @ u.T >= 0.98).sum() - 300) > 1000
+
+
+@pytest.mark.parametrize("query", ["op6_substring_words", "op7_embeddings", "op8_decontaminate", "op9_suffix_bytes"])
+def test_queries_equal_their_sql(spark, query):
+    import duckdb
+
+    from scholiast.llm import queries
+
+    home = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for name in ("documents", "benchmark", "embeddings"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{home}/{name}.parquet'")
+    want = con.sql(queries.ORACLES[query])
+    got = queries.QUERIES[query](spark, home)
+    assert sorted(want.columns) == sorted(got.columns)
+    assert sorted(want.fetchall()) == sorted(tuple(r[c] for c in want.columns) for r in got.collect())
