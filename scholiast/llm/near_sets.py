@@ -4,8 +4,8 @@ Covering LSH over the SimHash fingerprints (module simhash) proposes pairs first
 0.8 or more are links. Texts of similarity 0.8 differ in some ten bits of 64, far outside any radius that masks can cover, so pairs that
 are still apart are searched by their shingles. Two sets of similarity 0.8 or more overlap so far that, under any common order of shingles, they share
 one of the first n - ceil(0.8 n) + 1 elements of each (Bayardo et al., 2007). Sets meet by those
-alone, so no such pair is missed, whatever the data. Shingles found in many texts of a sample come last in
-the order, which only saves work. Of what meets, sizes and a parity sketch give exact bounds
+alone, so no such pair is missed, whatever the data. The order is by how often shingles stand in a sample of distinct texts, rarest
+first, so that sets meet by what few texts share; it only saves work. Of what meets, sizes and a parity sketch give exact bounds
 (the sketches differ in no more bits than the sets in elements), and what passes is compared shingle by
 shingle. Pairs that are already connected need no comparison: SimHash and rounds of few neighbours link large
 groups first, and the last round compares every pair that is still apart.
@@ -29,8 +29,8 @@ U64 = np.uint64
 SKETCH = 4
 #: Later sets of a bucket that the linking rounds look at, and how many of them each set is compared with.
 LOOK, TAKE = 16, 2
-#: Shingles met this often in the sample of one text in SAMPLE come last; no more than MOST of them.
-SAMPLE, OFTEN, MOST = 16, 8, 1 << 17
+#: One distinct text in SAMPLE is counted; shingles met twice or more in it are ordered by the logarithm of their count, kept in a filter of FREQUENT bytes at most.
+SAMPLE, FREQUENT = 8, 64 << 20
 #: Sets whose pairs are looked at together.
 BLOCK = 512
 
@@ -100,19 +100,20 @@ def _chunks(batches, size, column):
 
 
 def _prefixes(sh, off, num, den, late):
-    """The first elements of each set, those in `late` (sorted) behind all others."""
+    """The first elements of each set by their level in the filter `late`, then by hash."""
     n = np.diff(off)
-    doc = np.repeat(np.arange(len(n)), n)
-    if len(late) and len(sh):
-        is_late = late[np.minimum(np.searchsorted(late, sh), len(late) - 1)] == sh
-        sh = sh[np.lexsort((sh, is_late, doc))]
+    sh = sh[np.lexsort((sh, late.levels(sh), np.repeat(np.arange(len(n)), n)))]
     p = prefix_sizes(n, num, den)
     return sh[np.repeat(off[:-1], p) + spread(p)], np.concatenate([[0], np.cumsum(p)])
 
 
-def _sample_rows(batches, size, num, den):
-    for _, sh, off in _chunks(batches, size, 0):
-        u, c = bloom.counted(_prefixes(sh, off, num, den, np.zeros(0, U64))[0])
+def _magnitude(n):
+    return np.log2(n).astype(np.int64)
+
+
+def _sample_rows(batches, size):
+    for _, sh, _ in _chunks(batches, size, 0):
+        u, c = bloom.counted(sh)
         yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(c)], ["h", "n"])
 
 
@@ -299,9 +300,8 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, num: int = 4, den: int =
     """
     spark = docs.sparkSession
     text = docs.select(F.col("text").cast("string").alias("text"))
-    sample = text.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).mapInArrow(lambda it: _sample_rows(it, size, num, den), "h long, n long")
-    often = sample.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "h").limit(MOST).select("h").toPandas()
-    late = bloom.share(spark, np.sort(often["h"].to_numpy(np.int64).view(U64)))
+    sample = text.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0).distinct().mapInArrow(lambda it: _sample_rows(it, size), "h long, n long")
+    late = bloom.share(spark, bloom.build(sample, max_bytes=FREQUENT, least=2, quantise=_magnitude))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "rk", F.col("text").cast("string").alias("text")).mapInArrow(lambda it: _set_rows(it, size, num, den, late.value), f"doc_id {kind}, rk long, fp long, s long, n long, prefix array<long>, sketch array<long>, wide array<long>")
     rows = stored(rows, "near-sets")
