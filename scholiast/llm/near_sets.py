@@ -6,7 +6,8 @@ are still apart are searched by their shingles. Two sets of similarity 0.8 or mo
 one of the first n - ceil(0.8 n) + 1 elements of each (Bayardo et al., 2007). Sets meet by those
 alone, so no such pair is missed, whatever the data. The order is by how often shingles stand in a sample of distinct texts, rarest
 first, so that sets meet by what few texts share; it only saves work. Of what meets, sizes and a parity sketch give exact bounds
-(the sketches differ in no more bits than the sets in elements), and what passes is compared shingle by
+(the sketches differ in no more bits than the sets in elements). A pair is made where its first common element stands: what comes after that in
+either set bounds their overlap (Xiao et al., 2008), and a pair that also shares the element before is left to that one's bucket. What passes is compared shingle by
 shingle. Pairs that are already connected need no comparison: SimHash and rounds of few neighbours link large
 groups first, and the last round compares every pair that is still apart.
 """
@@ -127,24 +128,30 @@ def _set_rows(batches, size, num, den, late):
 
 
 def _met_rows(batches, again):
-    """(h, s, n, sketch) of the prefix elements that stand in two sets at least; a filter's false positives meet nobody."""
+    """(h, s, n, sketch, place, before) of the prefix elements in `again`; a filter's false positives meet nobody.
+
+    place: how many elements of its set come before h; before: the last of them in `again`, h itself if there is none.
+    """
     for b in batches:
         lists = b.column(2)
         h, size = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
         keep = np.flatnonzero(again.contains(h.view(U64)))
-        row = np.repeat(np.arange(len(size)), size)[keep]
+        row, place, h = np.repeat(np.arange(len(size)), size)[keep], spread(size)[keep].astype(np.int32), h[keep]
+        before = np.where(row == np.concatenate([[-1], row[:-1]]), np.concatenate([h[:1], h[:-1]]), h)
         for k in range(0, len(keep), 1 << 16):
-            r = pa.array(row[k : k + (1 << 16)])
-            yield pa.RecordBatch.from_arrays([pa.array(h[keep[k : k + (1 << 16)]]), *(b.column(i).take(r) for i in (0, 1, 3))], ["h", "s", "n", "sketch"])
+            e = slice(k, k + (1 << 16))
+            r = pa.array(row[e])
+            yield pa.RecordBatch.from_arrays([pa.array(h[e]), *(b.column(i).take(r) for i in (0, 1, 3)), pa.array(place[e]), pa.array(before[e])], ["h", "s", "n", "sketch", "place", "before"])
 
 
 def _buckets(batches):
-    """Rows of batches sorted by h as (h, s, n, label, sketch), cut where h changes."""
+    """Rows of batches sorted by h as (h, s, n, label, sketch, place, before), cut where h changes. Without the last two, h counts as each set's first element."""
     held = []
     for b in batches:
         if b.num_rows:
             h, s, n, l = (b.column(i).to_numpy() for i in range(4))
-            held.append((h, s, n, l, b.column(4).flatten().to_numpy().view(U64).reshape(-1, SKETCH)))
+            place, before = (b.column(i).to_numpy() for i in (5, 6)) if b.num_columns > 5 else (np.zeros(len(h), np.int32), h)
+            held.append((h, s, n, l, b.column(4).flatten().to_numpy().view(U64).reshape(-1, SKETCH), place, before))
             new = np.flatnonzero(h[1:] != h[:-1])
             whole = int(new[-1]) + 1 if len(new) else 0
             if whole or (len(held) > 1 and held[-2][0][-1] != h[0]):
@@ -157,10 +164,15 @@ def _buckets(batches):
 
 
 def _may_be_near(x, a, b, num, den):
-    """Which index pairs pass the exact bounds, and the differing sketch bits of each."""
-    _, _, n, label, sk = x
+    """Which index pairs pass the exact bounds, and the differing sketch bits of each.
+
+    A pair of similarity num/den or more passes where its first common element stands, though maybe not at later ones: there no element before
+    is common, so the overlap is what is left of either set at most.
+    """
+    h, _, n, label, sk, place, before = x
     total = n[a] + n[b]
-    ok = np.flatnonzero((label[a] != label[b]) & (den * np.minimum(n[a], n[b]) >= num * np.maximum(n[a], n[b])))
+    first = ((before[a] != before[b]) | (before[a] == h[a])) & ((num + den) * np.minimum(n[a] - place[a], n[b] - place[b]) >= num * total)
+    ok = np.flatnonzero(first & (label[a] != label[b]) & (den * np.minimum(n[a], n[b]) >= num * np.maximum(n[a], n[b])))
     diff = np.bitwise_count(sk[a[ok]] ^ sk[b[ok]]).sum(1, dtype=np.int64)
     good = (num + den) * diff <= (den - num) * total[ok]
     return ok[good], diff[good]
@@ -306,16 +318,18 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, num: int = 4, den: int =
     rows = docs.select("doc_id", "rk", F.col("text").cast("string").alias("text")).mapInArrow(lambda it: _set_rows(it, size, num, den, late.value), f"doc_id {kind}, rk long, fp long, s long, n long, prefix array<long>, sketch array<long>, wide array<long>")
     rows = stored(rows, "near-sets")
     distinct = stored(rows.drop("doc_id", "rk").dropDuplicates(["s"]), "near-distinct")
-    counts = distinct.select(F.explode("prefix").alias("h"), F.lit(1).cast("long").alias("n"))
-    again = bloom.share(spark, bloom.build(counts, least=2))
-    met = stored(distinct.select("s", "n", "prefix", "sketch").mapInArrow(lambda it: _met_rows(it, again.value), "h long, s long, n long, sketch array<long>"), "near-met")
+    # the first common element of a pair leaves enough of the smaller set for an overlap with one as large: it counts twice there, and once at least in the other
+    early = (num + den) * (F.col("n") - F.col("place")) >= 2 * num * F.col("n")
+    counts = distinct.select("n", F.posexplode("prefix").alias("place", "h")).select("h", F.when(early, 2).otherwise(1).cast("long").alias("n"))
+    again = bloom.share(spark, bloom.build(counts, least=3))
+    met = stored(distinct.select("s", "n", "prefix", "sketch").mapInArrow(lambda it: _met_rows(it, again.value), "h long, s long, n long, sketch array<long>, place int, before long"), "near-met")
     links, label = None, None
     for turn in range(rounds + 2):
         if not turn:
             found = simhash_pairs(distinct)
         else:
             placed = met.withColumn("label", F.col("s")) if label is None else met.join(label, met["s"] == label["node"], "left").withColumn("label", F.coalesce("root", "s"))
-            dealt = placed.select("h", "s", "n", "label", "sketch").repartition(parts(spark), "h").sortWithinPartitions("h")
+            dealt = placed.select("h", "s", "n", "label", "sketch", "place", "before").repartition(parts(spark), "h").sortWithinPartitions("h")
             found = dealt.mapInArrow((lambda it, turn=turn: _few_pairs(it, num, den, turn)) if turn <= rounds else (lambda it: _all_pairs(it, num, den)), "a long, b long").distinct()
         pairs = stored(found, "near-pairs")
         if pairs.limit(1).count():

@@ -109,3 +109,56 @@ def test_texts_that_share_a_frequent_passage_do_not_meet(spark):
     finally:
         near_sets.stored = stored
     assert made == [0]
+
+
+def beginnings(n=40):
+    """Pairs of a text and its first part with exactly 0.8 of the shingles, in every fourth pair with one less."""
+    rnd = random.Random(11)
+    out = []
+    for g in range(n):
+        w = [f"b{g}x{rnd.randrange(10**6)}" for _ in range(104 + 100 * (g % 2))]
+        out += [" ".join(w), " ".join(w[: (len(w) - 4) * 4 // 5 + 4 - (g % 4 == 3)])]
+    return out
+
+
+def made_pairs(texts):
+    """Rows that the last round makes of texts that nothing has linked yet, in one order of shingles by hash; and sets and digests."""
+    import numpy as np
+    import pyarrow as pa
+
+    class Any:
+        levels = staticmethod(lambda h: np.zeros(len(h), np.int64))
+        contains = staticmethod(lambda h: np.ones(len(h), bool))
+
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    sh, off = near_sets.shingle_sets(data, np.concatenate([[0], np.cumsum([len(t) for t in texts])]), 5)
+    pre, edges = near_sets._prefixes(sh, off, 4, 5, Any)
+    s = near_sets.digests(sh, off).view(np.int64)
+    sketch = near_sets._lists(near_sets.sketches(sh, off).reshape(-1), np.arange(len(off)) * near_sets.SKETCH)
+    b = pa.RecordBatch.from_arrays([pa.array(s), pa.array(np.diff(off)), near_sets._lists(pre, edges), sketch], ["s", "n", "prefix", "sketch"])
+    t = pa.Table.from_batches(list(near_sets._met_rows([b.slice(0, 7), b.slice(7)], Any))).sort_by("h")
+    t = t.add_column(3, "label", t["s"])
+    made = [p for x in near_sets._all_pairs(t.to_batches(max_chunksize=500), 4, 5) for p in zip(x.column(0).to_pylist(), x.column(1).to_pylist())]
+    return made, [set(sh[off[i] : off[i + 1]].tolist()) for i in range(len(s))], s.tolist()
+
+
+def test_a_pair_is_made_where_its_first_common_shingle_stands():
+    """Families of texts just below 0.8, and links among them: no link is missed, and a pair isn't made again in the bucket of each shingle that it shares."""
+    rnd = random.Random(13)
+    texts = [*copies(17, 12), *beginnings()]
+    for g in range(4):
+        w = [f"f{g}x{i}" for i in range(400)]
+        for _ in range(30):
+            c = list(w)
+            for _ in range(14):
+                c[rnd.randrange(400)] = f"y{rnd.randrange(10**6)}"
+            texts.append(" ".join(c))
+    made, sets, s = made_pairs(texts)
+    want = {tuple(sorted((s[i], s[j]))) for i in range(len(s)) for j in range(i) if s[i] != s[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    assert len(want) > 60 and want <= set(made)
+    assert len(made) < 8 * len(set(made)), (len(made), len(set(made)))
+
+
+def test_texts_and_their_beginnings(spark):
+    """A link at exactly 0.8 has all of the smaller set in the larger: its first common shingle is the smaller's first."""
+    same_groups(spark, beginnings())
