@@ -62,7 +62,7 @@ def main(argv: list[str] | None = None) -> int:
         scorer = TracedScorer(scorer, a.trace, "cli", strict=True)
     b = layout.document_blocks(spark.read.parquet(a.documents))
     caps = H.Caps(a.max_highlights_per_page, a.max_notes_per_page, a.max_equations_per_page, a.max_equation_notes_per_page)
-    stores.write_json(H.build(b, layout.words(b), scorer, caps), a.out)
+    stores.write_json(H.build(b, None, scorer, caps), a.out)
     return 0
 
 
